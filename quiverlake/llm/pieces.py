@@ -92,12 +92,16 @@ class PieceCodec:
         if MARK not in self.ids or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces with a space mark after another character are not supported")
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        for p, i in self.ids.items():
+            self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self._plain = frozenset(special)
+        self.text = [p.replace(MARK, " ") for p in self.pieces]
+        self.size = [len(p) for p in self.pieces]
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self._pairs: dict[int, bool] = {}
         self._units: dict[str, tuple[str, int, str]] = {}
+        self._older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the adjacent pair of the best score, the leftmost of equals, until none is left."""
@@ -113,48 +117,37 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= CACHE:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(a + b) == [a, b]
+    def _test(self, pair: int) -> bool:
+        """Whether the last two tokens, before * 2 ** 20 + after, are compatible; before 0: after stands alone."""
+        if len(self._pairs) >= CACHE:
+            self._pairs.clear()
+        parts = [self.pieces[i] for i in divmod(pair, 1 << 20) if i]
+        known = self._pairs[pair] = self.merge("".join(parts)) == parts
         return known
 
-    def _whole(self, a: str) -> bool:
-        known = self._alone.get(a)
-        if known is None:
-            known = self._alone[a] = self.merge(a) == [a]
-        return known
-
-    def tokens(self, unit: str) -> list[str]:
-        """The encoding of a text without cuts, as pieces; characters outside the vocabulary stand alone."""
-        last: list[str] = [""] * (len(unit) + 1)
-        done = 0
-        for end, piece in self.automaton.iter(unit):  # at one end the longest comes first
-            end += 1
-            while done < end - 1:
-                done += 1
-                last[done] = last[done] or unit[done - 1]
+    def unit_ids(self, unit: str) -> list[int]:
+        """The encoding of a text without cuts; characters outside the vocabulary stand alone, as bytes."""
+        # last[i]: the token that ends with character i; 0: the character is not in the vocabulary. The place after
+        # the end stays 0 and stands, as last[-1], before the start: nothing to be compatible with, as after such a character.
+        last = [0] * (len(unit) + 1)
+        known = self._pairs.get
+        for end, (token, size) in self.automaton.iter(unit):  # at one end the longest comes first
             if last[end]:
                 continue
-            start = end - len(piece)
-            if self._compatible(last[start], piece) if start else self._whole(piece):
-                last[end] = piece
-        while done < len(unit):
-            done += 1
-            last[done] = last[done] or unit[done - 1]
-        out, at = [], len(unit)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def unit_ids(self, unit: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(unit):
-            i = self.ids.get(t)
-            out += [self.byte_ids[b] for b in t.encode()] if i is None else [i]
+            pair = (last[end - size] << 20) + token
+            fits = known(pair)
+            if self._test(pair) if fits is None else fits:
+                last[end] = token
+        out, at = [], len(unit) - 1
+        while at >= 0:
+            token = last[at]
+            if token:
+                out.append(token)
+                at -= self.size[token]
+            else:
+                out += [self.byte_ids[b] for b in reversed(unit[at].encode())]
+                at -= 1
+        out.reverse()
         return out
 
     def units(self, text: str | None) -> list[str]:
@@ -164,6 +157,8 @@ class PieceCodec:
         return [i for u in self.units(text) for i in self.unit_ids(u)]
 
     def _surface(self, ids: list[int]) -> str:
+        if self._plain.isdisjoint(ids):
+            return "".join([self.text[i] for i in ids])
         out, run = [], bytearray()
 
         def flush() -> None:
@@ -190,7 +185,7 @@ class PieceCodec:
             if i in self.unknown:
                 out.append(" ⁇ ")
             elif i not in self.control:
-                out.append(self.pieces[i].replace(MARK, " "))
+                out.append(self.text[i])
         flush()
         return "".join(out)
 
@@ -199,23 +194,26 @@ class PieceCodec:
         first = next((i for i in ids if i not in self.control), None)
         return text[1:] if first is not None and first not in self.bytes and first not in self.unknown and self.pieces[first].startswith(MARK) else text
 
+    def _unit(self, unit: str) -> tuple[str, int, str]:
+        entry = self._older.get(unit)
+        if entry is None:
+            own = self.unit_ids(unit)
+            entry = ",".join([self.decimal[i] for i in own]), len(own), self._surface(own)
+        if len(unit) <= 64:
+            if len(self._units) >= CACHE // 2:
+                self._older, self._units = self._units, {}
+            self._units[unit] = entry
+        return entry
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids joined by commas, and the decoded text."""
-        units, known = self.units(text), self._units
-        ids, decoded, n = [], [], 0
-        for u in units:
-            entry = known.get(u)
-            if entry is None:
-                own = self.unit_ids(u)
-                entry = ",".join(map(str, own)), len(own), self._surface(own)
-                if len(u) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[u] = entry
-            ids.append(entry[0])
-            n += entry[1]
-            decoded.append(entry[2])
-        return n, ",".join(ids), "".join(decoded)[1:]  # every unit starts with a mark
+        found = []
+        for u in self.units(text):
+            found.append(self._units.get(u) or self._unit(u))
+        if not found:
+            return 0, "", ""
+        ids, n, decoded = zip(*found, strict=True)
+        return sum(n), ",".join(ids), "".join(decoded)[1:]  # every unit starts with a mark
 
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
