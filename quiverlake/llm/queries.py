@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pieces, sharding, toxicity, wordpiece
+from . import language, mixing, pieces, sharding, simhash, toxicity, urls, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs).select("doc_id", "source", "copy_no", "mix_key")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_language, op4_sentencepiece, op6_toxicity, op7_mix_sources, op9_balanced_shards)}
+    return {f.__name__: f for f in (op1_token_counts, op3_language, op4_sentencepiece, op6_toxicity, op7_mix_sources, op8_url_filter, op9_balanced_shards, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
