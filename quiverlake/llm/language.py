@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import filtered, slices
 from .common import hash_unit, is_held_out
 
 BITS = 15
@@ -154,6 +154,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language is known with a posterior of at least `least`."""
+
+    def certain(texts: list[str | None]) -> np.ndarray:
+        lang, score = model.predict(texts)
+        return np.array([x != "und" for x in lang]) & (score >= least)
+
+    return filtered(docs, certain)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the documents outside the held-out fold, then predict all of them."""
     model = train(docs.filter(~is_held_out(F.col("doc_id"))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import filtered, slices
 from .common import cut, hash_unit, is_held_out
 
 MAX_EXAMPLES, MAX_FEATURES, BLOCK, NEIGHBOURS = 12_000, 2048, 64, 15
@@ -228,6 +228,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double, predicted int, evidence array<bigint>")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    return filtered(docs, lambda texts: np.array([model.score(t)[0] for t in texts]) < threshold)
+
+
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels outside the held-out fold, then score all documents."""
     model = train(docs, labels.filter(~is_held_out(F.col("doc_id"))))
