@@ -15,7 +15,7 @@ fingerprints, never texts, are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,36 +44,68 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return h
 
 
-def fingerprint(text: str | None, width: int = 3, words: int = 1) -> list[int]:
-    """The fingerprint's words, unsigned. A-Z are lower-cased; words are split at ASCII white space."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return [0] * words
+def _shingles(parts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, RUN at a time."""
     n = max(1, len(parts) - width + 1)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = (np.concatenate([[0], ends[:-1] + 1])[:n]).tolist()
     ends = (ends[width - 1 :] if len(parts) >= width else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((words, 64), dtype=np.int64)
     for at in range(0, n, RUN):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + RUN], ends[at : at + RUN], strict=True)], dtype="<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + RUN], ends[at : at + RUN], strict=True)], dtype="<u8")
+
+
+def _words(text: str | None) -> list[bytes]:
+    """A-Z are lower-cased; words are split at ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def fingerprint(text: str | None, width: int = 3, words: int = 1, once: bool = False) -> list[int]:
+    """The fingerprint's words, unsigned. once: a repeated shingle counts once."""
+    parts = _words(text)
+    if not parts:
+        return [0] * words
+    ones, n = np.zeros((words, 64), dtype=np.int64), 0
+    runs = _shingles(parts, width)
+    for h in [np.unique(np.concatenate(list(runs)))] if once else runs:
+        n += len(h)
         for k in range(words):
             bytes_ = _mixed(h, k).view(np.uint8).reshape(-1, 8)
             ones[k] += (np.bincount((bytes_ + _OFFSETS).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
     return [int(sum(1 << i for i in np.flatnonzero(row * 2 > n).tolist())) for row in ones]
 
 
+def bottom(text: str | None, width: int, size: int) -> np.ndarray:
+    """The smallest 32-bit hashes of the set of shingles, sorted: all of them for a short text, none for an empty one."""
+    parts = _words(text)
+    if not parts:
+        return np.zeros(0, dtype=np.uint32)
+    return np.unique(np.concatenate([(h >> np.uint64(32)).astype(np.uint32) for h in _shingles(parts, width)]))[:size]
+
+
+def likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
+    """Jaccard likeness of two shingle sets from their bottom sketches; exact for sets up to half the size."""
+    both = np.union1d(a, b)[:size]
+    return 1.0 if not len(both) else float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+
+
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, w0, w1, ...): the words as signed longs."""
+    return _prints(docs, words, lambda t: (fingerprint(t, width, words),), "")
+
+
+def _prints(docs: DataFrame, words: int, of: Callable[[str | None], tuple], more: str) -> DataFrame:
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([fingerprint(t, width, words) for t in part.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", *names])
+            rows = [of(t) for t in part.column("text").to_pylist()]
+            found = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+            extra = [pa.array([r[1] for r in rows], pa.binary())] if more else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(words)), *extra], ["doc_id", *names, *(["sketch"] if more else [])])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + more)
 
 
 def _joined(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -92,8 +124,8 @@ def _joined(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
-    """Links between rows of equal key (sorted), as pairs of row numbers."""
+def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int, full: int = 0) -> np.ndarray:
+    """Links between rows of equal key (sorted), as pairs of row numbers; buckets of up to `full` rows give all."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     first = np.repeat(starts, sizes)
@@ -101,6 +133,11 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
     away = np.add.reduceat(~near, starts)
     rows = np.flatnonzero(near & (first != np.arange(len(keys))))
     out = [np.column_stack([first[rows], rows])]
+    of, at = np.repeat(sizes, sizes), np.arange(len(keys))
+    for step in range(1, full):
+        pair = np.flatnonzero((of[:-step] <= full) & (keys[:-step] == keys[step:])) if step < len(keys) else at[:0]
+        pair = pair[np.bitwise_count(words[pair] ^ words[pair + step]).sum(axis=1) <= limit]
+        out.append(np.column_stack([pair, pair + step]))
     # Rows away from the first: a bucket with one such row and nobody else is done; the others are searched.
     for b in np.flatnonzero((away > 0) & (sizes > 2)).tolist():
         s = slice(starts[b], starts[b] + sizes[b])
@@ -109,10 +146,11 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def links(nodes: DataFrame, words: int, segments: int, segment_bits: int, limit: int) -> DataFrame:
+def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words: int = 1, full: int = 0) -> DataFrame:
     """Edges (a, b) between w0 values that connect all nodes which share a key and differ by at most limit bits.
 
-    nodes: distinct (w0, w1, ...). Two nodes meet if one of the segments differs by at most one bit.
+    nodes: distinct (w0, w1, ...), as many words as the segments need. Two nodes meet if one of the segments differs
+    by at most one bit; the bits of the first `words` words are then compared.
     """
     names = [f"w{k}" for k in range(words)]
     mask = (1 << segment_bits) - 1
@@ -140,7 +178,7 @@ def links(nodes: DataFrame, words: int, segments: int, segment_bits: int, limit:
         seen: set[tuple[int, int]] = set()
 
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), limit)
+            pairs = bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), limit, full)
             ends = np.unique(np.sort(rows[:, 1][pairs], axis=1), axis=0)
             fresh = [p for p in map(tuple, ends.tolist()) if p not in seen]
             if len(seen) > 200_000:
@@ -167,15 +205,13 @@ def links(nodes: DataFrame, words: int, segments: int, segment_bits: int, limit:
     return index.mapInArrow(run, "a bigint, b bigint")
 
 
-def groups(prints: DataFrame, words: int, segments: int, segment_bits: int, limit: int) -> DataFrame:
-    """(w0, component_id, n_rows): for each class of equal w0, the smallest doc_id of its component."""
-    names = [f"w{k}" for k in range(words)]
-    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), *[F.min(n).alias(n) for n in names[1:]])
-    found = connected_components(links(classes.select(*names), words, segments, segment_bits, limit))
+def groups(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(w0, component_id) from classes (w0, least) and edges (a, b): the smallest id of each class's component."""
+    found = connected_components(edges)
     linked = classes.select("w0", "least").join(found, F.col("w0") == F.col("node")).select("w0", "root", "least")
     lows = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("w0", "root").join(lows, "root").select(F.col("w0").alias("node"), "component_id")
-    return classes.join(linked, F.col("w0") == F.col("node"), "left").select("w0", F.coalesce("component_id", "least").alias("component_id"), "n_rows")
+    return classes.join(linked, F.col("w0") == F.col("node"), "left").select(F.col("w0").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -184,26 +220,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two segments of 32 bits: of two differing bits or fewer, one segment has one at most, so no link is missed.
     """
     prints = cut(fingerprints(docs))
-    found = groups(prints, words=1, segments=2, segment_bits=32, limit=2)
+    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"))
+    found = groups(classes, links(classes.select("w0"), segments=2, segment_bits=32, limit=2))
     hexed = F.lower(F.lpad(F.hex("w0"), 16, "0"))
-    return prints.join(found.select(F.col("w0").alias("w"), "component_id"), F.col("w0") == F.col("w")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(found, F.col("w0") == F.col("of")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
 
+#: What deduplication uses: two texts are alike at SIMILARITY or more of their five-word shingles. To find them,
+#: 192-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into nine segments of 21
+#: bits; a pair meets with a probability above 0.9 at that likeness, and near 1 beyond it. Pairs that meet and differ
+#: by NEAR_BITS of the first 64 at most are checked by bottom sketches of SKETCH five-word shingles.
+SIMILARITY, WIDTH, CANDIDATE_WIDTH, SKETCH = 0.8, 5, 3, 256
+WORDS, SEGMENTS, SEGMENT_BITS, NEAR_BITS, FULL = 3, 9, 21, 15, 8
+
+
+def alike(edges: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
+    """The edges (a, b) whose sketches (w0, sketch) are alike."""
+    side = lambda n: sketches.select(F.col("w0").alias(n), F.col("sketch").alias(f"sketch_{n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(n).to_pylist() for n in ("sketch_a", "sketch_b"))
+            ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), size) >= similarity for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-#: What the corpus pipeline uses: 5-word shingles, 192 bits, six segments of 21 bits. At a shingle likeness of 0.8
-#: (cosine 0.89) about 15 % of the bits differ, 29 of 192; LIMIT_192 is just below.
-WIDTH, WORDS, SEGMENTS, SEGMENT_BITS, LIMIT_192 = 5, 3, 6, 21, 28
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Repeated rows of the kept doc_id stay as one row. Rows without a doc_id stay if no other row is in their group.
+    Rows that repeat both id and text stay as one row. Rows without a doc_id are not judged: all of them stay. Of a
+    doc_id with several texts, all stay if one of them does.
     """
-    prints = cut(fingerprints(docs, WIDTH, WORDS))
-    found = groups(prints, WORDS, SEGMENTS, SEGMENT_BITS, LIMIT_192)
-    kept = cut(prints.join(found.select(F.col("w0").alias("w"), "component_id"), F.col("w0") == F.col("w")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count(F.lit(1)).alias("__ql_n")))
-    once = docs.join(kept.filter("__ql_n = 1"), docs["doc_id"].eqNullSafe(F.col("__ql_id")), "left_semi")
-    if kept.filter("__ql_n > 1").isEmpty():
-        return once
-    again = docs.join(kept.filter("__ql_n > 1"), docs["doc_id"].eqNullSafe(F.col("__ql_id")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    of = lambda t: (fingerprint(t, CANDIDATE_WIDTH, WORDS, once=True), bottom(t, WIDTH, SKETCH).tobytes())
+    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), WORDS, of, ", sketch binary"))
+    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("w1").alias("w1"), F.min("w2").alias("w2"))
+    met = cut(links(classes.select("w0", "w1", "w2"), SEGMENTS, SEGMENT_BITS, NEAR_BITS, full=FULL).distinct())
+    ends = met.select(F.col("a").alias("w0")).union(met.select("b")).distinct()
+    sketches = prints.select("w0", "sketch").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("sketch").alias("sketch"))
+    found = groups(classes.select("w0", "least"), alike(met, sketches))
+    kept = prints.select("doc_id", "w0").join(found, F.col("w0") == F.col("of")).filter(F.col("doc_id") == F.col("component_id"))
+    kept = cut(kept.groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count(F.lit(1)).alias("__ql_n")))
+    chosen = lambda which: docs.join(kept.filter(which), docs["doc_id"] == F.col("__ql_id"), "left_semi")
+    out = chosen("__ql_n = 1").unionByName(docs.filter("doc_id IS NULL"))
+    return out if kept.filter("__ql_n > 1").isEmpty() else out.unionByName(chosen("__ql_n > 1").dropDuplicates(["doc_id", "text"]))

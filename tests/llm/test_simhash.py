@@ -78,7 +78,7 @@ def test_links_lose_nothing(spark):
             x.add(v)
     x = np.array(sorted(x), dtype=np.uint64)
     nodes = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "w0 bigint")
-    found = {r.node: r.root for r in components.connected_components(simhash.links(nodes, 1, 2, 32, 2)).collect()}
+    found = {r.node: r.root for r in components.connected_components(simhash.links(nodes, 2, 32, 2)).collect()}
     edges = [(i, j) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i + 1 :] ^ x[i]) <= 2) + i + 1]
     signed = x.view(np.int64).tolist()
     mine = {}
@@ -105,3 +105,25 @@ def test_deduplicated(spark):
     got = simhash.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string, w0 string"))
     assert got.columns == ["doc_id", "text", "w0"]
     assert sorted(r.doc_id for r in got.collect()) == [2, 9, 10]
+
+
+def test_deduplicated_finds_alike_texts(spark):
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(dice.randint(2, 6)))
+    docs, groups = [], []
+    for g in range(120):
+        base = [word() for _ in range(dice.randint(120, 600))]
+        group = [base]
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 60)):
+                copy[dice.randrange(len(copy))] = word()
+            group.append(copy)
+        groups.append([len(docs) + i for i in range(4)])
+        docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate(group)]
+        docs.append((len(docs), " ".join(base[: len(base) // 2] + [word() for _ in range(len(base) // 2)])))  # shares half only
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in docs}
+    due = [i for g in groups for i in g[1:] if len(sets[i] & sets[g[0]]) >= 0.8 * len(sets[i] | sets[g[0]])]
+    assert len(due) > 150 and sum(i in kept for i in due) <= 0.03 * len(due)
+    assert all(g[0] in kept and g[0] + 4 in kept for g in groups)
