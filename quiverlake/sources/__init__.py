@@ -1,0 +1,11 @@
+"""Readers and writers. register(spark) makes the formats `oplog` and `vecs` known to a session."""
+
+from pyspark.sql import SparkSession
+
+from .binlog import OpLogSource
+from .vecfiles import VecsSource
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(OpLogSource)
+    spark.dataSource.register(VecsSource)
