@@ -7,5 +7,6 @@ from .vecfiles import VecsSource
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # lets `oplog` skip files by sequence number
     spark.dataSource.register(OpLogSource)
     spark.dataSource.register(VecsSource)

@@ -21,10 +21,11 @@ from ..schema import OPLOG, Op, check_id
 
 # Fixed values of the file format: magic, version, then little-endian fields.
 MAGIC, VERSION = b"puff", 0
-HEADER = struct.Struct("<4sHQI")  # magic, version, sequence, operations
-CHECKSUM = struct.Struct("<I")  # CRC-32 (IEEE) of all bytes before it
-OPERATION = struct.Struct("<BH")  # kind, bytes of the id
-LENGTH = struct.Struct("<I")  # numbers in the vector
+HEADER = "<4sHQI"  # magic, version, sequence, operations
+CHECKSUM = "<I"  # CRC-32 (IEEE) of all bytes before it
+OPERATION = "<BH"  # kind, bytes of the id
+LENGTH = "<I"  # numbers in the vector
+HEADER_SIZE, CHECKSUM_SIZE, OPERATION_SIZE = map(struct.calcsize, (HEADER, CHECKSUM, OPERATION))
 
 Operation = tuple[int, str, list[float] | None]
 
@@ -34,29 +35,29 @@ class FormatError(ValueError):
 
 
 def encode(seq: int, ops: list[Operation]) -> bytes:
-    out = [HEADER.pack(MAGIC, VERSION, seq, len(ops))]
+    out = [struct.pack(HEADER, MAGIC, VERSION, seq, len(ops))]
     for kind, name, vector in ops:
         raw = check_id(name).encode()
-        out += [OPERATION.pack(Op(kind), len(raw)), raw]
+        out += [struct.pack(OPERATION, Op(kind), len(raw)), raw]
         if kind == Op.UPSERT:
-            out += [LENGTH.pack(len(vector)), struct.pack(f"<{len(vector)}f", *vector)]
+            out += [struct.pack(LENGTH, len(vector)), struct.pack(f"<{len(vector)}f", *vector)]
     body = b"".join(out)
-    return body + CHECKSUM.pack(zlib.crc32(body))
+    return body + struct.pack(CHECKSUM, zlib.crc32(body))
 
 
 def decode(data: bytes) -> tuple[int, list[Operation]]:
-    if len(data) < HEADER.size + CHECKSUM.size:
+    if len(data) < HEADER_SIZE + CHECKSUM_SIZE:
         raise FormatError("too short")
-    magic, version, seq, count = HEADER.unpack_from(data)
+    magic, version, seq, count = struct.unpack_from(HEADER, data)
     if magic != MAGIC:
         raise FormatError("bad magic")
     if version != VERSION:
         raise FormatError(f"unsupported version {version}")
-    body = memoryview(data)[: -CHECKSUM.size]
-    if CHECKSUM.unpack_from(data, len(body))[0] != zlib.crc32(body):
+    body = memoryview(data)[: -CHECKSUM_SIZE]
+    if struct.unpack_from(CHECKSUM, data, len(body))[0] != zlib.crc32(body):
         raise FormatError("checksum mismatch")
     ops: list[Operation] = []
-    at = HEADER.size
+    at = HEADER_SIZE
 
     def take(n: int) -> memoryview:
         nonlocal at
@@ -66,13 +67,13 @@ def decode(data: bytes) -> tuple[int, list[Operation]]:
         return body[at - n : at]
 
     for _ in range(count):
-        kind, size = OPERATION.unpack(take(OPERATION.size))
+        kind, size = struct.unpack(OPERATION, take(OPERATION_SIZE))
         if kind not in (Op.UPSERT, Op.DELETE):
             raise FormatError(f"unknown operation {kind}")
         name = bytes(take(size)).decode()
         vector = None
         if kind == Op.UPSERT:
-            n = LENGTH.unpack(take(LENGTH.size))[0]
+            n = struct.unpack(LENGTH, take(4))[0]
             vector = list(struct.unpack(f"<{n}f", take(4 * n)))
         ops.append((kind, name, vector))
     if at != len(body):

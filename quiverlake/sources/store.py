@@ -117,7 +117,7 @@ def scan_metrics(df: DataFrame) -> dict[str, int]:
 
     def walk(node) -> None:
         metrics = node.metrics()
-        for name in ("numFiles", "numPartitions"):
+        for name in ("numFiles", "numPartitions") if node.nodeName().startswith("Scan") else ():
             if metrics.contains(name):
                 out[name] += metrics.apply(name).value()
         if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
