@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"))
-    found = groups(classes, links(classes.select("w0"), segments=2, segment_bits=32, limit=2))
+    # A written table: the join below then has an exchange on both sides, and a hot fingerprint can be split.
+    found = cut(groups(classes, links(classes.select("w0"), segments=2, segment_bits=32, limit=2)))
     hexed = F.lower(F.lpad(F.hex("w0"), 16, "0"))
     return prints.join(found, F.col("w0") == F.col("of")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
@@ -259,7 +260,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     met = cut(links(classes.select("w0", "w1", "w2"), SEGMENTS, SEGMENT_BITS, NEAR_BITS, full=FULL).distinct())
     ends = met.select(F.col("a").alias("w0")).union(met.select("b")).distinct()
     sketches = prints.select("w0", "sketch").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("sketch").alias("sketch"))
-    found = groups(classes.select("w0", "least"), alike(met, sketches))
+    found = cut(groups(classes.select("w0", "least"), alike(met, sketches)))
     kept = prints.select("doc_id", "w0").join(found, F.col("w0") == F.col("of")).filter(F.col("doc_id") == F.col("component_id"))
     kept = cut(kept.groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count(F.lit(1)).alias("__ql_n")))
     chosen = lambda which: docs.join(kept.filter(which), docs["doc_id"] == F.col("__ql_id"), "left_semi")
