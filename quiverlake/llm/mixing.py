@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit
+from .common import cut, hash_unit
 
 #: Poisson means up to this are inverted in one step.
 MAX_PART = 64.0
@@ -45,9 +45,10 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha
         for name, w in targets.items():
             weight = F.when(F.col("src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
         sizes = sizes.withColumn("w", weight)
-    totals = sizes.agg(F.sum("w").alias("all_w"), F.sum("chars").alias("all_chars"))  # one row
-    want = F.col("all_chars").cast("double") if budget is None else F.lit(float(budget))
-    return sizes.join(F.broadcast(totals)).select("src", "chars", F.coalesce(F.try_divide(F.col("w") * want, F.col("all_w") * F.col("chars")), F.lit(0.0)).alias("rate"))
+    sizes = cut(sizes)  # one row a source; the texts are read once for it
+    all_w, all_chars = sizes.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    want = float(all_chars if budget is None else budget)
+    return sizes.select("src", "chars", F.coalesce(F.try_divide(F.col("w") * F.lit(want), F.lit(all_w) * F.col("chars")), F.lit(0.0)).alias("rate"))
 
 
 def poisson_table(mean: Column) -> Column:
