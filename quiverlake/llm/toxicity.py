@@ -31,14 +31,15 @@ from .common import cut, hash_unit, is_held_out
 MAX_EXAMPLES, MAX_FEATURES, BLOCK, NEIGHBOURS = 12_000, 2048, 64, 15
 #: Chi-squared that a feature needs, far beyond chance for millions of candidate features.
 CHI2 = 40.0
-PREFIXES = (4, 5, 6)
+PREFIXES, LONGEST = (4, 5, 6), 64
 THRESHOLD = 0.3
 CACHE = 1 << 18
 _WORD = re.compile(r"\w+")
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+    """A word's beginnings, and the word itself unless it is longer than any word is."""
+    return [*([word] if len(word) <= LONGEST else []), *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
 class Vocabulary:
@@ -51,7 +52,7 @@ class Vocabulary:
         known = self._words.get(word)
         if known is None:
             known = tuple(self.numbers[f] for f in features_of(word) if f in self.numbers)
-            if len(word) <= 64:
+            if len(word) <= LONGEST:
                 self._words[word] = known
         return known
 
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
             seen: Counter = Counter()
             hits: Counter = Counter()
             for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                own = {f for w in set(_WORD.findall(text.lower())) if len(w) <= 64 for f in features_of(w)}
+                own = {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}
                 seen.update(own)
                 if y:
                     hits.update(own)
