@@ -145,7 +145,7 @@ def _hybrid(spark: SparkSession, sf: str, nprobe: int = 3, extra: DataFrame | No
     asked = query_set(spark, sf)
     chosen = ivf.centroid_ranks(asked, centroids).filter(F.col("rank") <= nprobe).select("query_id", "cluster_id")
     old = ivf.search_probed(members, asked.join(chosen, "query_id"), 10, replay.touched(log, DIM, AFTER))
-    return search.merge([knn.batch_top_k(replay.snapshot(log, DIM, AFTER), asked, 10), old], 10)
+    return search.merge([knn.block_top_k(replay.snapshot(log, DIM, AFTER), asked, 10), old], 10)
 
 
 def _after_delete(spark: SparkSession, sf: str) -> DataFrame:

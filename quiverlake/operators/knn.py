@@ -34,7 +34,9 @@ def rank(scored: DataFrame, k: int, metric: Metric | str = Metric.L2) -> DataFra
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2) -> DataFrame:
-    """(query_id, rank, id, score) by Column expressions; queries must be few (a broadcast nested loop)."""
+    """(query_id, rank, id, score) by Column expressions: a broadcast nested loop, for at most QUERY_BLOCK queries."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return block_top_k(vectors, queries, k, metric)
     pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("query"))))
     scored = pairs.select("query_id", "id", score(metric, F.col("vector"), F.col("query")).alias("score"))
     return rank(scored, k, metric).select("query_id", "rank", "id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.knn import batch_top_k, rank
+from ..operators.knn import block_top_k, rank
 from ..operators.replay import snapshot, touched
 from ..schema import check_k
 from .ivf import Index
@@ -30,7 +30,7 @@ def hybrid(queries: DataFrame, k: int, log: DataFrame, index: Index | None = Non
         wrong = F.raise_error(F.concat(F.lit("query vector has "), F.size("vector").cast("string"), F.lit(f" numbers; {dim} are needed")))
         queries = queries.select("query_id", F.when(F.size("vector") == dim, F.col("vector")).otherwise(wrong.cast("array<float>")).alias("vector"))
     after = index.seq if index else 0
-    recent = batch_top_k(snapshot(log, dim, after), queries, k)
+    recent = block_top_k(snapshot(log, dim, after), queries, k)  # any number of queries
     if index is None:
         return recent
     return merge([recent, index.search(queries, k, nprobe, skip=touched(log, dim, after))], k)
