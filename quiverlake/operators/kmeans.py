@@ -115,3 +115,13 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: whether any assignment differs."""
     both = before.select("id", F.col("cluster_id").alias("was")).join(after.select("id", F.col("cluster_id").alias("now")), "id")
     return both.agg(F.coalesce(F.bool_or(F.col("was") != F.col("now")), F.lit(False)).alias("changed"))
+
+
+def kmeans_fast(vectors: DataFrame, k: int, max_iter: int = 25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The library's k-means, all in the JVM: stops when centres move little, so results differ from kmeans()."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, initMode="random", predictionCol="cluster_id").fit(rows)
+    return centroid_frame(vectors, [c.tolist() for c in model.clusterCenters()]), model.transform(rows).select("id", "vector", "cluster_id")

@@ -6,6 +6,7 @@ length, magic, version, checksum, then the operations, and the number in the hea
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, WriterCommitMessage
 
 from ..schema import OPLOG, Op, check_id
 
@@ -115,7 +116,11 @@ class _File(InputPartition):
 
 
 class OpLogSource(DataSource):
-    """spark.read.format("oplog").load(folder): one partition for each file; option `after` skips files unread."""
+    """The format `oplog` over a folder: batch reads, streams and writes.
+
+    Reading makes one partition of each file; option `after` skips files unread. A stream starts after `after` and
+    takes the files that have come since. write_oplog() writes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -127,6 +132,29 @@ class OpLogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Stream(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("a log is only appended to")
+        return _Writer(self.options["path"].removeprefix("file:"))
+
+
+def _numbered(folder: str, after: int, upto: int | None = None) -> list[str]:
+    """Paths of the log files with after < number <= upto, in order."""
+    names = sorted(n for n in os.listdir(folder) if not n.startswith((".", "_"))) if os.path.isdir(folder) else []
+    return [os.path.join(folder, n) for n in names if sequence_in(n) > after and (upto is None or sequence_in(n) <= upto)]
+
+
+def _read_file(path: str) -> Iterator[pa.RecordBatch]:
+    if path:
+        with open(path, "rb") as f:
+            seq, ops = decode(f.read())
+        if seq != sequence_in(path):
+            raise FormatError(f"{path}: the header says {seq}")
+        yield as_batch(seq, ops)
+
 
 class _Reader(DataSourceReader):
     """Filters on seq prune files by name; everything else is left to Spark."""
@@ -142,14 +170,52 @@ class _Reader(DataSourceReader):
             yield f  # rows are still filtered by Spark
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.folder) if not n.startswith((".", "_"))) if os.path.isdir(self.folder) else []
-        return [_File(os.path.join(self.folder, n)) for n in names if sequence_in(n) > self.after] or [_File("")]
+        return [_File(p) for p in _numbered(self.folder, self.after)] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            seq, ops = decode(f.read())
-        if seq != sequence_in(partition.path):
-            raise FormatError(f"{partition.path}: the header says {seq}")
-        yield as_batch(seq, ops)
+        return _read_file(partition.path)
+
+
+class _Stream(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.folder, self.after = options["path"].removeprefix("file:"), int(options.get("after", 0))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"seq": self.after}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        names = _numbered(self.folder, self.after)
+        return {"seq": sequence_in(names[-1]) if names else self.after}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(p) for p in _numbered(self.folder, start["seq"], end["seq"])] or [_File("")]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        return _read_file(partition.path)
+
+
+class _Writer(DataSourceWriter):
+    """Rows of one number must come to one task in order; a number that exists is an error."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.folder, exist_ok=True)
+        for seq, group in itertools.groupby(rows, key=lambda r: r.seq):
+            data = encode(seq, [(r.op, r.id, r.vector) for r in group])
+            final = os.path.join(self.folder, f"{seq:020d}.bin")
+            try:
+                with open(final, "xb") as f:
+                    f.write(data)
+            except FileExistsError:
+                with open(final, "rb") as f:
+                    if f.read() != data:  # a repeated task finds its own file
+                        raise
+        return WriterCommitMessage()
+
+
+def write_oplog(ops: DataFrame, folder: str) -> None:
+    """Append (seq, op_idx, op, id, vector) to a log folder, one file for each seq."""
+    rows = ops.select("seq", "op_idx", "op", "id", "vector").repartition("seq").sortWithinPartitions("seq", "op_idx")
+    rows.write.format("oplog").mode("append").save(folder)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 from collections import Counter
 from urllib.parse import urlparse
 
@@ -22,10 +23,17 @@ class ExistsError(FileExistsError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    """delay: seconds that every call waits first, to try out a distant store; calls counts them by kind."""
+
+    def __init__(self, spark: SparkSession, base: str, delay: float = 0.0):
+        self.spark, self.base, self.delay = spark, base.rstrip("/"), delay
         self.calls: Counter = Counter()
 
+    def _called(self, kind: str) -> None:
+        self.calls[kind] += 1
+        if self.delay:
+            time.sleep(self.delay)
+
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
@@ -39,7 +47,7 @@ class Store:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def create(self, name: str, data: bytes) -> None:
-        self.calls["create"] += 1
+        self._called("create")
         local = self._local(name)
         if local is None:
             fs, path = self._hadoop(name)
@@ -66,7 +74,7 @@ class Store:
             os.unlink(temp)
 
     def read(self, name: str) -> bytes:
-        self.calls["read"] += 1
+        self._called("read")
         found = self.spark.read.format("binaryFile").load(self.path(name)).select("content").first()
         if found is None:
             raise FileNotFoundError(name)
@@ -74,7 +82,7 @@ class Store:
 
     def read_at(self, name: str, offset: int, length: int) -> bytes:
         """Exactly length bytes; an error if the file ends before."""
-        self.calls["read_at"] += 1
+        self._called("read_at")
         local = self._local(name)
         if local is not None:
             with open(local, "rb") as f:
@@ -94,7 +102,7 @@ class Store:
 
     def list(self, prefix: str = "") -> list[str]:
         """Names of all files under a prefix, at any depth, in byte order; empty where there is none."""
-        self.calls["list"] += 1
+        self._called("list")
         root = prefix.rpartition("/")[0]
         fs, path = self._hadoop(root) if root else self._hadoop(".")
         if not fs.exists(path):

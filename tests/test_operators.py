@@ -91,3 +91,9 @@ def test_kmeans_blocks_equal_columns(spark, sf_dir):
     plain = km.update(rows.join(km.assign(rows, start), "id"), start)
     got, want = ({r.cluster_id: r.centroid for r in df.collect()} for df in (once, plain))
     assert all(np.allclose(got[c], want[c], rtol=0, atol=1e-7) for c in want)
+
+
+def test_library_kmeans(spark):
+    rows = points(spark, [(f"{i}", [float(i % 2 * 100 + i % 7), 1.0]) for i in range(60)])
+    centroids, assigned = km.kmeans_fast(rows, 2, seed=3)
+    assert centroids.count() == 2 and sorted(r.n for r in km.sizes(assigned).collect()) == [30, 30]

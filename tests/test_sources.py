@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quiverlake import sources
+from quiverlake.schema import OPLOG
 from quiverlake.sources import binindex, binlog, vecfiles
 from quiverlake.sources.store import ExistsError, Store, json_requests
 
@@ -111,3 +112,34 @@ def test_binary_index(store):
 def test_json_requests(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"id": "a", "vector": [1, 2], "k": 3}\n{"id": "b"}\n')
     assert [(r.id, r.vector, r.k) for r in json_requests(spark, str(tmp_path)).collect()] == [("a", [1.0, 2.0], 3), ("b", None, None)]
+
+
+def test_log_writer_and_stream(spark, tmp_path):
+    sources.register(spark)
+    folder = str(tmp_path / "wal")
+    rows = [(s, i, 1 if i == 2 else 0, f"k{i}", None if i == 2 else [1.0 * s, 2.0]) for s in (1, 2, 5) for i in range(3)]
+    ops = spark.createDataFrame(rows, OPLOG)
+    binlog.write_oplog(ops.repartition(4), folder)
+    read = lambda df: sorted(map(repr, df.collect()))
+    assert read(spark.read.format("oplog").load(folder)) == read(ops)
+    with pytest.raises(Exception, match="(?s)File exists|FileExists"):
+        binlog.write_oplog(ops.filter("op_idx = 0"), folder)
+    stream = spark.readStream.format("oplog").option("after", 1).load(folder)
+
+    def run():
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+
+    run()
+    binlog.write_oplog(spark.createDataFrame([(6, 0, 1, "late", None)], OPLOG), folder)
+    run()
+    assert sorted((r.seq, r.op_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(s, i) for s in (2, 5) for i in range(3)] + [(6, 0)]
+
+
+def test_store_delay(spark, tmp_path):
+    import time
+
+    slow = Store(spark, str(tmp_path), delay=0.05)
+    start = time.perf_counter()
+    slow.create("x", b"1")
+    assert time.perf_counter() - start >= 0.05 and slow.calls == {"create": 1}
