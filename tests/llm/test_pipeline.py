@@ -31,9 +31,22 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_on_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "words in a text", "en", "a", 15), (4, "words in a text " * 9000, "en", "a", 9), (4, "words in a text " * 9000, "en", "a", 9), (5, "other words of a text", "en", "b", 21)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, copy_no string, score int")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0, 0), (5, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {None, 4, 5}
+    docs = table
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == table.columns
+    assert corpus_pipeline.run(spark, _empty(spark, tmp_path, table)).count() == 0
+
+
+def _empty(spark, tmp_path, table):
+    folder = str(tmp_path / "empty")
+    table.limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
 
 
 def test_every_operator_is_registered():
