@@ -1,8 +1,8 @@
 """Toxicity scores from the nearest labelled examples.
 
 Features are words and word beginnings of 4, 5 and 6 letters. On a bounded sample of labelled documents (at most
-about MAX_EXAMPLES, by a hash of the id) the MAX_FEATURES features most associated with the label, by a
-chi-squared test, are kept; every sampled document becomes a TF-IDF vector over them. The examples live in an
+about MAX_EXAMPLES, by a hash of the id) the MAX_FEATURES features that speak most for the label, by a chi-squared
+test, are kept (what speaks against it is mostly the wording of large groups of copies); every sampled document becomes a TF-IDF vector over them. The examples live in an
 inverted index whose postings are cut into blocks of BLOCK examples with the largest weight of each feature in
 each block. A query adds up block bounds, visits blocks from the highest bound down, scores their examples
 exactly and stops when no bound can reach the k-th best: the exact k nearest by cosine, ties to the smaller
@@ -92,33 +92,34 @@ class BlockMaxIndex:
             docs, w = np.array([d for d, _ in found], dtype=np.int64), np.array([x for _, x in found])
             ids, starts = np.unique(docs // block, return_index=True)
             peaks = np.maximum.reduceat(w, starts) if len(w) else w
-            self.postings.append((docs, w, ids, np.append(starts, len(docs)), peaks))
+            self.postings.append((docs, w, docs // block, ids, peaks))
 
     def top(self, at: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of the largest positive cosine, as (-cosine, number), in order."""
         bound = np.zeros(self.blocks)
-        for i, x in zip(at.tolist(), w.tolist(), strict=True):
-            _, _, ids, _, peaks = self.postings[i]
+        terms = [(x, *self.postings[i]) for i, x in zip(at.tolist(), w.tolist(), strict=True)]
+        for x, _, _, _, ids, peaks in terms:
             bound[ids] += x * peaks
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        done, step = 0, 4
+        done, step = 0, 16
         while done < len(order) and bound[order[done]] > 0:
             if len(best) >= k and bound[order[done]] < -best[k - 1][0] - 1e-12:
                 break
-            group = np.sort(order[done : done + step])
-            score = np.zeros(len(group) * self.block)
-            for i, x in zip(at.tolist(), w.tolist(), strict=True):
-                docs, weights, ids, starts, _ = self.postings[i]
-                mine = np.flatnonzero(np.isin(ids, group, assume_unique=True))
-                for b in mine.tolist():
-                    s = slice(starts[b], starts[b + 1])
-                    score[np.searchsorted(group, ids[b]) * self.block + docs[s] % self.block] += x * weights[s]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[order[done : done + step]] = True
+            score = np.zeros(self.n)
+            for x, docs, weights, block_of, _, _ in terms:
+                mine = chosen[block_of]
+                score[docs[mine]] += x * weights[mine]
             hit = np.flatnonzero(score > 0)
-            numbers = group[hit // self.block] * self.block + hit % self.block
-            best = sorted([*best, *zip((-np.round(score[hit], 12)).tolist(), numbers.tolist(), strict=True)])[:k]
+            if len(hit) > k:  # ties at the k-th place stay, the smaller numbers win below
+                cut_at = np.partition(score[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[score[hit] >= cut_at - 1e-11]
+                hit = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
+            best = sorted([*best, *zip((-np.round(score[hit], 12)).tolist(), hit.tolist(), strict=True)])[:k]
             done += step
-            step *= 2
+            step *= 4
         return best
 
 
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     share = toxic / total if total else 0.0
     away = F.col("t") - F.col("n") * share
     spread = F.col("n") * (share * (1 - share)) * (1 - F.col("n") / F.lit(float(max(1, total))))
-    found = found.withColumn("chi2", F.try_divide(away * away, spread + 1e-9)).filter(F.col("chi2") > CHI2)
+    found = found.filter(away > 0).withColumn("chi2", F.try_divide(away * away, spread + 1e-9)).filter(F.col("chi2") > CHI2)
     kept = found.orderBy(F.desc("chi2"), "feature").limit(max_features).collect()
     vocabulary = Vocabulary({r.feature: math.log(1 + total / r.n) for r in kept})
 
