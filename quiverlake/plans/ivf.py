@@ -90,8 +90,11 @@ def write(assigned: DataFrame, centroids: DataFrame, folder: str, seq: int, dim:
     """Clusters first, head last: a folder without a head is not an index."""
     spark = assigned.sparkSession
     k = centroids.count()
-    by_cluster = assigned.select("id", "vector", "cluster_id").repartition("cluster_id").sortWithinPartitions("cluster_id", "id")
-    by_cluster.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("cluster_id").parquet(f"{folder}/clusters")
+    # A cluster is one task's work up to ROWS_PER_FILE rows; a larger one is dealt over several by a hash of the id.
+    shares = km.sizes(assigned).select("cluster_id", F.ceil(F.col("n") / ROWS_PER_FILE).alias("shares"))  # k rows
+    dealt = assigned.select("id", "vector", "cluster_id").join(F.broadcast(shares), "cluster_id").withColumn("share", F.pmod(F.xxhash64("id"), "shares"))
+    dealt = dealt.repartition("cluster_id", "share").sortWithinPartitions("cluster_id", "id").select("id", "vector", "cluster_id")
+    dealt.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("cluster_id").parquet(f"{folder}/clusters")
     centroids.select("cluster_id", "centroid").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/centroids")
     head = spark.createDataFrame([(json.dumps({"seq": seq, "k": k, "dim": dim}),)], "value string")
     head.coalesce(1).write.mode("errorifexists").text(f"{folder}/head")
