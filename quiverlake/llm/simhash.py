@@ -171,7 +171,8 @@ def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words:
             value = value.bitwiseOR(F.shiftleft(F.col(f"w{word + 1}"), 64 - shift))
         keys.append(variants(s, value.bitwiseAND(F.lit(mask).cast("bigint"))))
     index = nodes.select(F.explode(F.concat(*keys)).alias("key"), *names)
-    index = index.repartition("key").sortWithinPartitions("key")
+    # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
+    index = index.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "w0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
