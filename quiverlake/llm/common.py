@@ -40,8 +40,8 @@ def hash_unit(*parts: Column) -> Column:
 def order_bounds(df: DataFrame, key: str, rows_per_bucket: int = 4096, max_buckets: int = 8192) -> list[int]:
     """Ascending start values of contiguous key ranges of about equal row count.
 
-    One aggregation over the key alone. The list holds at most max_buckets longs, whatever the input; every
-    value is one that occurs, and the first is the smallest key. Empty for an empty table.
+    A few aggregations over the key alone. The list holds at most max_buckets longs, whatever the input; every value
+    is a key that occurs, so no range is empty, and the first is the smallest. Empty for an empty table.
     """
     n, low = df.agg(F.count(key), F.min(key)).first()
     if not n:
@@ -50,7 +50,8 @@ def order_bounds(df: DataFrame, key: str, rows_per_bucket: int = 4096, max_bucke
     if k == 1:
         return [low]
     cuts = df.agg(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 4 * k))).first()[0]
-    return sorted({low, *cuts})
+    cuts = sorted({low, *cuts})  # near the quantiles: they went through doubles
+    return sorted(r.first for r in df.groupBy(bucket_of(F.col(key), cuts)).agg(F.min(key).alias("first")).collect())
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:

@@ -29,6 +29,13 @@ def test_table(spark, sf_dir, monkeypatch):
     compare(spark, [(i * 1000, t) for i, t in rows], shards=7)
 
 
+def test_ids_beyond_doubles(spark, monkeypatch):
+    small = common.order_bounds
+    monkeypatch.setattr(sharding, "order_bounds", lambda df, key: small(df, key, rows_per_bucket=2))
+    rows = [((1 << 62) + 3 * i, f"t{i}") for i in range(200)] + [(i * 0x123456789ABCDE1 % (1 << 63), "h" * i) for i in range(200)] + [(None, "n")]
+    compare(spark, rows)
+
+
 def test_edges(spark):
     compare(spark, [(1, None), (2, ""), (2, ""), (None, "é漢"), (None, None), (5, "x" * 100_000), (-4, "y"), (6, "z")])
     compare(spark, [(7, "same")] * 300)

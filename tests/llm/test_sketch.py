@@ -52,6 +52,11 @@ def test_table(spark, sf_dir, monkeypatch):
     assert sum(r.near_edited for r in got) / len(got) > 0.6 > 0.2 > sum(r.near_next for r in got) / len(got)
 
 
+def test_ids_beyond_doubles(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "ROWS_PER_RANGE", 2)
+    check(spark, [((1 << 62) + 3 * i, f"text {i} of many", "x") for i in range(100)] + [(i * 0x123456789ABCDE1 % (1 << 63), "h " * i, "x") for i in range(1, 100)] + [(None, "n", "x")])
+
+
 def test_edges(spark, monkeypatch):
     long = "\n".join(f"line {i} of a text that goes on" for i in range(3000))
     docs = [(1, None), (2, ""), (2, ""), (3, "a"), (4, "é漢\U0001f600 x\n\ny"), (5, long), (5, long), (6, long + " z"), (None, "null id"), (7, " \n\t "), (8, "same same same\n" * 50)]
