@@ -30,8 +30,8 @@ from .components import connected_components
 SEED = 42
 #: Shingles hashed at once.
 RUN = 1 << 16
-_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
-_OFFSETS = np.arange(8, dtype=np.uint16) * 256
+#: The bits of a byte as eight counters of a byte each; up to 255 of them add up without a carry.
+_LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], dtype="<u8")
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -66,46 +66,48 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1, once: bool = F
     parts = _words(text)
     if not parts:
         return [0] * words
-    ones, n = np.zeros((words, 64), dtype=np.int64), 0
+    ones, n = np.zeros(words * 64, dtype=np.int64), 0
     runs = _shingles(parts, width)
     for h in [np.unique(np.concatenate(list(runs)))] if once else runs:
         n += len(h)
-        for k in range(words):
-            bytes_ = _mixed(h, k).view(np.uint8).reshape(-1, 8)
-            ones[k] += (np.bincount((bytes_ + _OFFSETS).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return [int(sum(1 << i for i in np.flatnonzero(row * 2 > n).tolist())) for row in ones]
+        for at in range(0, len(h), 255):
+            some = h[at : at + 255]
+            bytes_ = np.stack([_mixed(some, k) for k in range(words)], axis=1).view(np.uint8)
+            ones += _LANES[bytes_].sum(axis=0, dtype="<u8").view(np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").tolist()
 
 
-def bottom(text: str | None, width: int, size: int) -> np.ndarray:
-    """The smallest 32-bit hashes of the set of shingles, sorted: all of them for a short text, none for an empty one."""
+def bottom(text: str | None, width: int, size: int | None = None) -> np.ndarray:
+    """The smallest 32-bit hashes of the set of shingles, sorted: all of them without a size or for a short text, none for an empty one."""
     parts = _words(text)
     if not parts:
         return np.zeros(0, dtype=np.uint32)
     return np.unique(np.concatenate([(h >> np.uint64(32)).astype(np.uint32) for h in _shingles(parts, width)]))[:size]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard likeness of two shingle sets from their bottom sketches; exact for sets up to half the size."""
+def likeness(a: np.ndarray, b: np.ndarray, size: int | None) -> float:
+    """Jaccard likeness of two shingle sets from their bottom sketches; of whole sets without a size."""
     both = np.union1d(a, b)[:size]
     return 1.0 if not len(both) else float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, w0, w1, ...): the words as signed longs."""
-    return _prints(docs, words, lambda t: (fingerprint(t, width, words),), "")
+    return _prints(docs, words, lambda t: (fingerprint(t, width, words),))
 
 
-def _prints(docs: DataFrame, words: int, of: Callable[[str | None], tuple], more: str) -> DataFrame:
+def _prints(docs: DataFrame, words: int, of: Callable[[str | None], tuple], *more: str) -> DataFrame:
+    """(doc_id, w0, ..., and the named binary columns) of what a text gives: the words first."""
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = [of(t) for t in part.column("text").to_pylist()]
             found = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-            extra = [pa.array([r[1] for r in rows], pa.binary())] if more else []
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(words)), *extra], ["doc_id", *names, *(["sketch"] if more else [])])
+            extra = [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, len(more) + 1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(words)), *extra], ["doc_id", *names, *more])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names) + more)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id bigint", *(f"{n} bigint" for n in names), *(f"{n} binary" for n in more)]))
 
 
 def _joined(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -124,8 +126,8 @@ def _joined(words: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int, full: int = 0) -> np.ndarray:
-    """Links between rows of equal key (sorted), as pairs of row numbers; buckets of up to `full` rows give all."""
+def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
+    """Links between rows of equal key (sorted), as pairs of row numbers."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     first = np.repeat(starts, sizes)
@@ -133,11 +135,6 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int, full: int = 0)
     away = np.add.reduceat(~near, starts)
     rows = np.flatnonzero(near & (first != np.arange(len(keys))))
     out = [np.column_stack([first[rows], rows])]
-    of, at = np.repeat(sizes, sizes), np.arange(len(keys))
-    for step in range(1, full):
-        pair = np.flatnonzero((of[:-step] <= full) & (keys[:-step] == keys[step:])) if step < len(keys) else at[:0]
-        pair = pair[np.bitwise_count(words[pair] ^ words[pair + step]).sum(axis=1) <= limit]
-        out.append(np.column_stack([pair, pair + step]))
     # Rows away from the first: a bucket with one such row and nobody else is done; the others are searched.
     for b in np.flatnonzero((away > 0) & (sizes > 2)).tolist():
         s = slice(starts[b], starts[b] + sizes[b])
@@ -146,7 +143,60 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int, full: int = 0)
     return np.concatenate(out)
 
 
-def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words: int = 1, full: int = 0) -> DataFrame:
+def bucket_pairs(keys: np.ndarray, words: np.ndarray, labels: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """All pairs of rows of equal key (sorted) and different label within limit bits, as pairs of row numbers."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    end = np.repeat(np.append(starts[1:], len(keys)), np.diff(np.append(starts, len(keys))))
+    at, step = np.arange(len(keys)), 1
+    while len(at := at[at + step < end[at]]):
+        for some in range(0, len(at), RUN):
+            pair = at[some : some + RUN]
+            pair = pair[labels[pair] != labels[pair + step]]
+            pair = pair[np.bitwise_count(words[pair] ^ words[pair + step]).sum(axis=1) <= limit]
+            if len(pair):
+                yield np.column_stack([pair, pair + step])
+        step += 1
+
+
+def _by_bucket(index: DataFrame, pairs_of: Callable[[np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
+    """Edges (a, b), a < b, of w0 values from the pairs of row numbers that pairs_of finds in whole buckets.
+
+    index: (key, w0, ...), longs, dealt and sorted by key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
+        seen: set[tuple[int, int]] = set()
+
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for pairs in pairs_of(rows):
+                ends = np.unique(np.sort(rows[:, 1][pairs], axis=1), axis=0)
+                fresh = [p for p in map(tuple, ends.tolist()) if p not in seen]
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.update(fresh)
+                if fresh:
+                    a, b = zip(*fresh, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64, copy=False)
+            if not len(rows):
+                continue
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if last == 0 and held and held[0][0, 0] == rows[0, 0]:
+                held.append(rows)
+                continue
+            if held or last:
+                yield from found(np.concatenate([*held, rows[:last]]))
+            held = [rows[last:]]
+        if held:
+            yield from found(np.concatenate(held))
+
+    return index.mapInArrow(run, "a bigint, b bigint")
+
+
+def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words: int = 1) -> DataFrame:
     """Edges (a, b) between w0 values that connect all nodes which share a key and differ by at most limit bits.
 
     nodes: distinct (w0, w1, ...), as many words as the segments need. Two nodes meet if one of the segments differs
@@ -174,36 +224,7 @@ def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words:
     # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
     index = index.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "w0"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
-        seen: set[tuple[int, int]] = set()
-
-        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), limit, full)
-            ends = np.unique(np.sort(rows[:, 1][pairs], axis=1), axis=0)
-            fresh = [p for p in map(tuple, ends.tolist()) if p not in seen]
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(fresh)
-            if fresh:
-                a, b = zip(*fresh, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64, copy=False)
-            if not len(rows):
-                continue
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if last == 0 and held and held[0][0, 0] == rows[0, 0]:
-                held.append(rows)
-                continue
-            if held or last:
-                yield from found(np.concatenate([*held, rows[:last]]))
-            held = [rows[last:]]
-        if held:
-            yield from found(np.concatenate(held))
-
-    return index.mapInArrow(run, "a bigint, b bigint")
+    return _by_bucket(index, lambda rows: iter([bucket_links(rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), limit)]))
 
 
 def groups(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,24 +250,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: What deduplication uses: two texts are alike at SIMILARITY or more of their five-word shingles. To find them,
-#: 192-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into nine segments of 21
-#: bits; a pair meets with a probability above 0.9 at that likeness, and near 1 beyond it. Pairs that meet and differ
-#: by NEAR_BITS of the first 64 at most are checked by bottom sketches of SKETCH five-word shingles.
+#: 1,024-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into 64 segments of 16
+#: bits; two texts meet where one segment is equal. At 0.8 a bit differs with a probability of 0.152 even if the edit
+#: is one block (scattered edits: less), so a pair meets with 1 - (1 - 0.848 ** 16) ** 64 = 0.991, at 0.85 with
+#: 0.9994. Pairs that meet are checked if they differ by at most NEAR[k] bits of the first k words: three standard
+#: deviations and more above what such a pair differs by.
 SIMILARITY, WIDTH, CANDIDATE_WIDTH, SKETCH = 0.8, 5, 3, 256
-WORDS, SEGMENTS, SEGMENT_BITS, NEAR_BITS, FULL = 3, 9, 21, 15, 8
+WORDS, NEAR = 16, {3: 46, 16: 196}
 
 
-def alike(edges: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
-    """The edges (a, b) whose sketches (w0, sketch) are alike."""
-    side = lambda n: sketches.select(F.col("w0").alias(n), F.col("sketch").alias(f"sketch_{n}"))
+def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
+    """Edges (a, b), a < b, between w0 values of nodes (w0, bits) that share a segment and differ by NEAR[words] bits at most.
+
+    They connect all such nodes. With labelled, nodes have a label too, and all such pairs of different label are edges.
+    """
+    names = ["key", "w0", *(f"b{k}" for k in range(words)), *(["label"] if labelled else [])]
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype="<u8").reshape(-1, WORDS)
+                segments = bits.view("<u2").astype(np.int64)
+                keys = segments + (np.arange(segments.shape[1]) << 16)
+                rest = [part.column("w0").to_numpy(), *bits.view(np.int64)[:, :words].T, *([part.column("label").to_numpy()] if labelled else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, keys.shape[1])) for c in rest)], names)
+
+    index = nodes.mapInArrow(expand, ", ".join(f"{n} bigint" for n in names))
+    # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
+    index = index.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "w0"))
+
+    def pairs_of(rows: np.ndarray) -> Iterator[np.ndarray]:
+        keys, bits = rows[:, 0], np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64)
+        return bucket_pairs(keys, bits, rows[:, -1], NEAR[words]) if labelled else iter([bucket_links(keys, bits, NEAR[words])])
+
+    return _by_bucket(index, pairs_of)
+
+
+def alike(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
+    """The edges (a, b) whose sketches (w0, shingles) are alike."""
+    side = lambda n: sets.select(F.col("w0").alias(n), F.col("shingles").alias(f"set_{n}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(n).to_pylist() for n in ("sketch_a", "sketch_b"))
+            x, y = (batch.column(n).to_pylist() for n in ("set_a", "set_b"))
             ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), size) >= similarity for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between alike classes (w0, bits): those of the edges that connect each bucket which hold."""
+
+    def sets_of(edges: DataFrame) -> DataFrame:
+        ends = edges.select(F.col("a").alias("w0")).union(edges.select("b")).distinct()
+        return prints.select("w0", "shingles").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("shingles").alias("shingles"))
+
+    met = cut(meetings(classes.select("w0", "bits"), 3).distinct())
+    sure = cut(alike(met, sets_of(met)))
+    return sure
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -255,13 +318,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat both id and text stay as one row. Rows without a doc_id are not judged: all of them stay. Of a
     doc_id with several texts, all stay if one of them does.
     """
-    of = lambda t: (fingerprint(t, CANDIDATE_WIDTH, WORDS, once=True), bottom(t, WIDTH, SKETCH).tobytes())
-    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), WORDS, of, ", sketch binary"))
-    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("w1").alias("w1"), F.min("w2").alias("w2"))
-    met = cut(links(classes.select("w0", "w1", "w2"), SEGMENTS, SEGMENT_BITS, NEAR_BITS, full=FULL).distinct())
-    ends = met.select(F.col("a").alias("w0")).union(met.select("b")).distinct()
-    sketches = prints.select("w0", "sketch").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("sketch").alias("sketch"))
-    found = cut(groups(classes.select("w0", "least"), alike(met, sketches)))
+
+    def of(text: str | None) -> tuple:
+        words = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True)
+        return words[:1], np.array(words, dtype="<u8").tobytes(), bottom(text, WIDTH, SKETCH).tobytes()
+
+    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "shingles"))
+    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"))
+    found = cut(groups(classes.select("w0", "least"), alike_links(classes, prints)))
     kept = prints.select("doc_id", "w0").join(found, F.col("w0") == F.col("of")).filter(F.col("doc_id") == F.col("component_id"))
     kept = cut(kept.groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count(F.lit(1)).alias("__ql_n")))
     chosen = lambda which: docs.join(kept.filter(which), docs["doc_id"] == F.col("__ql_id"), "left_semi")
