@@ -301,7 +301,12 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, siz
 
 
 def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between alike classes (w0, bits): those of the edges that connect each bucket which hold."""
+    """Edges (a, b) between alike classes (w0, bits) that connect all which meet and are alike.
+
+    First the members of each bucket are connected by few edges, whatever its size, and these are verified. Where all
+    hold, nothing is left to find. A pair that the first edges do not connect has a refused edge at both of its verified
+    groups; all members of such groups are searched again, and all their pairs across groups verified.
+    """
 
     def sets_of(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("w0")).union(edges.select("b")).distinct()
@@ -309,7 +314,17 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
 
     met = cut(meetings(classes.select("w0", "bits"), 3).distinct())
     sure = cut(alike(met, sets_of(met)))
-    return sure
+    roots = cut(connected_components(sure))
+    label = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    refused = met.join(sure, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    refused = refused.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
+    open_ = cut(refused.select(F.col("x").alias("label")).union(refused.select("y")).distinct())
+    if open_.isEmpty():
+        return sure
+    nodes = classes.select("w0", "bits").join(label("w0"), "w0", "left").select("w0", "bits", F.coalesce("root_w0", "w0").alias("label"))
+    more = meetings(nodes.join(open_, "label", "left_semi").select("w0", "bits", "label"), WORDS, labelled=True).distinct()
+    more = cut(more.join(met, ["a", "b"], "left_anti"))
+    return sure.union(alike(more, sets_of(more)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,20 @@ def edited(dice, base, kind, low, high):
     raise AssertionError(kind)
 
 
+def test_copies_inside_a_family_with_a_template(spark):
+    """Members share a long template and are not alike; each has one copy, which only a pair inside the bucket shows."""
+    dice = random.Random(3)
+    template = [dice.choice(VOCABULARY) for _ in range(300)]
+    texts = []
+    for _ in range(300):
+        own = [dice.choice(VOCABULARY) for _ in range(60)]
+        texts += [template + own, template + own[:17] + [dice.choice(VOCABULARY) for _ in range(25)] + own[42:]]
+    assert all(jaccard(texts[i], texts[i + 1]) >= 0.84 for i in range(0, 600, 2)) and max(jaccard(texts[0], t) for t in texts[2:]) < 0.8
+    left = kept(spark, texts)
+    print("family found", 300 - sum(i in left for i in range(1, 600, 2)), "of 300")
+    assert all(i in left for i in range(0, 600, 2)) and sum(i in left for i in range(1, 600, 2)) <= 3
+
+
 @pytest.mark.parametrize("kind", ["block", "append", "cut"])
 def test_contiguous_edits_near_the_limit(spark, kind):
     dice = random.Random(4)
