@@ -257,6 +257,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: deviations and more above what such a pair differs by.
 SIMILARITY, WIDTH, CANDIDATE_WIDTH, SKETCH = 0.8, 5, 3, 256
 WORDS, NEAR = 16, {3: 46, 16: 196}
+#: Four standard errors of a likeness estimated from sketches, at SIMILARITY.
+DOUBT = 4 * (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5
 
 
 def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
@@ -288,16 +290,31 @@ def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
 
 
 def alike(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
-    """The edges (a, b) whose sketches (w0, shingles) are alike."""
-    side = lambda n: sets.select(F.col("w0").alias(n), F.col("shingles").alias(f"set_{n}"))
+    """The edges (a, b) whose sets of shingle hashes (w0, shingles), sorted, are alike.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(n).to_pylist() for n in ("set_a", "set_b"))
-            ok = [likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), size) >= similarity for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    Sketches, the first `size` hashes of each set, settle the clear cases; where their estimate is within DOUBT of the
+    similarity and a set is longer than its sketch, the whole sets are compared.
+    """
+
+    def judged(pairs: DataFrame, part: Column, size: int | None) -> DataFrame:
+        side = lambda n: sets.select(F.col("w0").alias(n), part.alias(f"set_{n}"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
+                    out = []
+                    for p, q in zip(some.column("set_a").to_pylist(), some.column("set_b").to_pylist(), strict=True):
+                        whole = size is None or max(len(p), len(q)) < 4 * size
+                        j = likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), None if whole else size)
+                        out.append(None if not whole and abs(j - similarity) <= DOUBT else j >= similarity)
+                    yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(out, pa.bool_())], ["a", "b", "ok"])
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, ok boolean")
 
-    return edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    first = cut(judged(edges, F.substring("shingles", 1, 4 * size), size))
+    second = judged(first.filter("ok IS NULL").select("a", "b"), F.col("shingles"), None)
+    return first.union(second).filter("ok").select("a", "b")
 
 
 def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -336,7 +353,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def of(text: str | None) -> tuple:
         words = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True)
-        return words[:1], np.array(words, dtype="<u8").tobytes(), bottom(text, WIDTH, SKETCH).tobytes()
+        return words[:1], np.array(words, dtype="<u8").tobytes(), bottom(text, WIDTH).tobytes()
 
     prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "shingles"))
     classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"))
