@@ -1,18 +1,27 @@
-"""What several operators share: checkpoints, the train/held-out fold, ordered buckets by boundaries."""
+"""What several operators share: checkpoints, the train/held-out fold, hashed numbers, a global order."""
 
 from __future__ import annotations
 
-import tempfile
+import sys
+import types
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def worker_memory() -> dict:
+    """A dict that lives as long as the Python process. Package code comes anew with each task, so it cannot hold one."""
+    return sys.modules.setdefault("_quiverlake_worker", types.ModuleType("_quiverlake_worker")).__dict__
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session. A local one is made only where none is set (tests)."""
+    """The session's shared checkpoint folder. Where none is set, a local master (tests, bench) uses its warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quiverlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,28 +46,26 @@ def hash_unit(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") + 0.5) / F.lit(2.0**52)
 
 
-def order_bounds(df: DataFrame, key: str, rows_per_bucket: int = 4096, max_buckets: int = 8192) -> list[int]:
-    """Ascending start values of contiguous key ranges of about equal row count.
+def numbered(df: DataFrame, *order: str, weight: str | None = None) -> tuple[DataFrame, int, int]:
+    """(df with `row` and, with a weight, `before`; number of rows; total weight).
 
-    A few aggregations over the key alone. The list holds at most max_buckets longs, whatever the input; every value
-    is a key that occurs, so no range is empty, and the first is the smallest. Empty for an empty table.
+    row counts from 0 in the order of the columns, without gaps; before is the weight of all rows ahead. df: a written
+    table of narrow rows, read twice. Rows are dealt by ranges of all order columns and sorted there, so only fully
+    equal keys need one place. The driver sees one row of totals for each partition.
     """
-    n, low = df.agg(F.count(key), F.min(key)).first()
-    if not n:
-        return []
-    k = min(max_buckets, max(1, -(-n // rows_per_bucket)))
-    if k == 1:
-        return [low]
-    cuts = df.agg(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 4 * k))).first()[0]
-    cuts = sorted({low, *cuts})  # near the quantiles: they went through doubles
-    return sorted(r.first for r in df.groupBy(bucket_of(F.col(key), cuts)).agg(F.min(key).alias("first")).collect())
-
-
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is not above key (0 below all): a binary search of about log2 steps."""
-    if len(bounds) < 2:
-        return F.lit(0)
-    table = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds]) if len(bounds) <= 64 else F.expr(f"array({','.join(f'{int(b)}L' for b in bounds)})")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-    down = lambda at, step: F.when((at + step < len(bounds)) & (F.get(table, at + step) <= key), at + step).otherwise(at)
-    return F.aggregate(steps, F.lit(0), down)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()))
+    placed = placed.withColumn("part", F.shiftright("row", 33).cast("int"))
+    size = F.col(weight) if weight else F.lit(0)
+    table, n, total = [], 0, 0
+    for part, rows, heavy in sorted(placed.groupBy("part").agg(F.count(F.lit(1)), F.sum(size)).collect()):
+        table.append((part, n, total))
+        n, total = n + rows, total + heavy
+    starts = df.sparkSession.createDataFrame(table, "part int, start bigint, ahead bigint")
+    local = F.col("row").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
+    out = placed.join(F.broadcast(starts), "part")
+    more = []
+    if weight:
+        run = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+        more = [(F.col("ahead") + F.sum(weight).over(run) - F.col(weight)).alias("before")]
+    return out.select(*df.columns, (F.col("start") + local).alias("row"), *more), n, total

@@ -12,7 +12,11 @@ their UTF-8. Decoding joins the pieces, turns marks into spaces, runs of byte pi
 not UTF-8 becomes U+FFFD), and removes the one mark that encoding put in front.
 
 Models supported: BPE, byte fallback, identity normalisation, a dummy prefix, spaces kept and escaped; others are
-refused. Null and empty texts have no ids.
+refused. A Python worker loads the model once and remembers units and pairs of pieces across its tasks, within CACHE.
+
+Cases: null and empty texts have no ids. Very long texts are encoded whole, and a unit of any length in linear work.
+Repeated rows are encoded alike, row by row; of pairs of equal score the leftmost is joined first. An empty table
+gives an empty table. Only doc_id and text (or ids) of the input are looked at, so other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .common import worker_memory
 
 MARK = "▁"
 #: Entries of each memory in a worker; it is emptied when full.
 CACHE = 1 << 18
+_INF = float("inf")
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -105,16 +111,21 @@ class PieceCodec:
 
     def merge(self, text: str) -> list[str]:
         """The definition: join the adjacent pair of the best score, the leftmost of equals, until none is left."""
+        score = self.score.get
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+        # The score of each part joined to the next; a join changes two of them.
+        joins = [score(a + b, -_INF) for a, b in zip(parts, parts[1:], strict=False)]
+        while joins:
+            best = max(joins)
+            if best == -_INF:
                 break
+            at = joins.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joins[at]
+            if at:
+                joins[at - 1] = score(parts[at - 1] + parts[at], -_INF)
+            if at < len(joins):
+                joins[at] = score(parts[at] + parts[at + 1], -_INF)
         return parts
 
     def _test(self, pair: int) -> bool:
@@ -216,6 +227,15 @@ class PieceCodec:
         return sum(n), ",".join(ids), "".join(decoded)[1:]  # every unit starts with a mark
 
 
+def codec_of(path: str) -> PieceCodec:
+    """The codec of a model file: one in each Python process, with what it remembers of earlier tasks."""
+    codecs = worker_memory().setdefault("codecs", {})
+    if path not in codecs:
+        codecs.clear()
+        codecs[path] = PieceCodec(path)
+    return codecs[path]
+
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -224,7 +244,7 @@ def encode_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     path = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(path)
+        codec = codec_of(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for part in slices(batches):
             rows = [(n, sha(i), sha(d)) for n, i, d in map(codec.digest, part.column("text").to_pylist())]
@@ -239,7 +259,7 @@ def encode_ids(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     path = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(path)
+        codec = codec_of(path)
         for part in slices(batches):
             ids = [codec.encode(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -252,7 +272,7 @@ def decode_ids(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     path = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(path)
+        codec = codec_of(path)
         for part in slices(batches, "ids"):
             texts = [None if i is None else codec.decode(i) for i in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -1,136 +1,153 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph pieces.
 
-A text is cut at line ends, and every line into pieces of a fixed number of words, a power of two chosen by the
-text's length so that most texts have 10 to 40 pieces. A piece's digest is 64 bits of XXH64. The sketch has three
-tables of cells; a digest falls into one cell of each, which keeps the count, the XOR of its digests and the XOR
-of their check hashes. The sketches of two versions are subtracted by cell: what both have cancels out. Peeling
-then looks for cells that hold one digest (count 1 or -1 and a fitting check), takes it out of its other two
-cells, and goes on; when every cell is empty, the differing digests of both sides are recovered. The three tables
-are peeled in turn, so no digest is taken twice in a round. Where something is left, the sketches are built again,
-larger, for that pair alone, until all pairs are peeled. Likeness is 1 - differing / all distinct digests.
-
-The fingerprint is the sketch of the smallest size as text. It depends on the text only. A null text is an empty
-one; two empty texts have likeness 1. Only DataFrame functions: pieces by one regular expression, cells by
-aggregation inside the partition that holds the document (rows are dealt by document once for each size), peeling
-by a fixed number of such aggregations in one stage. Documents are put next to each other by ranges of ids; rows
-with equal ids stand in the order of their texts, null ids come first.
+A text is cut at line ends, and longer lines into pieces of WORDS words; the rule is the same for every text, so the
+digests (64 bits of XXH64 a piece, as a set) of any two texts can be compared. A sketch has three tables of CELLS
+cells; a digest falls into one cell of each, which keeps the count, the XOR of its digests and the XOR of their check
+hashes. The sketches of two versions are subtracted cell by cell: what both have cancels out. Peeling then looks for
+cells that hold one digest (count 1 or -1 and a fitting check), takes it out of its cells, and goes on; when every
+cell is empty, the differing digests of both sides are recovered. The digests of a pair are dealt by a hash into parts
+of about PART, by the number of digests on both sides, each part with a sketch of its own. What cannot be peeled is
+built again larger: each quarter of such a part gets a sketch of that size, with other cells, until all are peeled.
+
+The fingerprint is the text's one sketch of the smallest size, as text: number of digests, then the cells. The
+likeness of two fingerprints is 1 - (differing digests) / (digests of one + digests of the other), of the digests
+that they sketch; it is symmetric, 1 for equal sets, 0 for sets with nothing in common.
+
+Only DataFrame functions. Cells are columns: one aggregation with a fixed buffer for each sketch builds them,
+subtraction is its sign, and peeling is a chain of projections, so no table of cells is ever grouped again. The order
+of documents comes from ids and checksums alone; each text then meets the beginning and the digests of its next
+document by an equi-join.
+
+Cases: a null text is an empty one; two texts without digests have likeness 1, with one such it is 0. Texts of any
+length are read whole. Rows with equal ids stand in the order of their checksums, null ids come first. Rows that
+repeat both id and text are one row with a count until the end (they are combined before the shuffle): each is the
+next document of the one before it. One document alone is its own next. An empty table gives an empty table. Only
+doc_id and text of the input are looked at, so other columns clash with nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut, order_bounds
+from .common import cut, numbered
 
-#: Cells of a table in the smallest sketch; there are three tables.
-SMALL = 8
-#: Turns of peeling: each table three times.
-TURNS = 9
-ROWS_PER_RANGE = 512
-_LOW = -(2**63)
+#: Words of a piece at most; cells of a table; digests of both sides that a part has on average.
+WORDS, CELLS, PART = 24, 4, 2.0
+TABLES = 3
+#: Turns of peeling, one table each; more is left to the next size.
+TURNS = 6
+_PIECE = rf"(?:\S++[^\S\n]*+){{1,{WORDS}}}+"
+_NAMES = [f"{f}{t}_{i}" for t in range(TABLES) for i in range(CELLS) for f in "nkh"]
 
 
-def piece_words(n_chars: Column) -> Column:
-    """Words of a piece: the power of two next below n_chars / 128, from 1 to 64."""
-    return F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(6), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / 128.0)).cast("int"))))
+def digests(text: Column) -> Column:
+    """Distinct digests of the pieces; white space at the end of a piece does not count."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
 
 
-def digests(text: Column, words: Column) -> Column:
-    """Distinct digests of the pieces; white space at the end of a piece does not count."""
-    pattern = F.concat(F.lit(r"(?:\S++[^\S\n]*+){1,"), words.cast("string"), F.lit("}+"))
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
+def _check(digest: str) -> str:
+    return f"xxhash64({digest}, 'check')"
 
 
-def _cell(digest: Column, table: Column | int, size: Column, salt: Column) -> Column:
-    table = table if isinstance(table, Column) else F.lit(table)
-    return (F.pmod(F.xxhash64(digest, table, salt), size) * 3 + table).cast("bigint")
+def _at(digest: str, table: int) -> str:
+    """The digest's cell in a table; the part's number is the salt."""
+    return f"int(pmod(shiftright(xxhash64({digest}, part), {16 * table}), {CELLS}))"
 
 
-def check_of(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check"))
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row of cell columns for each value of the keys (part among them), from rows with a digest k or null and its sign c."""
+    rows = rows.selectExpr(*keys, "c AS n", "k", f"{_check('k')} AS h", *[f"{_at('k', t)} AS at{t}" for t in range(TABLES)])
+    fold = {"n": "sum", "k": "bit_xor", "h": "bit_xor"}
+    cells = [f"{fold[c[0]]}(if(at{c[1]} = {c[3:]}, {c[0]}, 0L)) AS {c}" for c in _NAMES]
+    return rows.groupBy(*keys).agg(*map(F.expr, cells))
 
 
-def small_sketches(rows: DataFrame) -> DataFrame:
-    """(rid, side, fingerprint) from (rid, side, digests), dealt by rid already."""
-    one = rows.select("rid", "side", F.size("digests").alias("n"), F.explode_outer("digests").alias("k"))
-    size, salt = F.lit(SMALL), F.lit(0)
-    spread = F.explode(F.when(F.col("k").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(*[_cell(F.col("k"), t, size, salt) for t in range(3)])))
-    cells = one.select("rid", "side", "n", "k", spread.alias("cell")).groupBy("rid", "side", "n", "cell")
-    cells = cells.agg(F.count("k").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor(check_of(F.col("k"))).alias("h"))
-    shown = F.concat_ws(".", F.lpad(F.col("cell").cast("string"), 2, "0"), F.col("c").cast("string"), F.hex("k"), F.hex(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))))
-    cells = cells.select("rid", "side", "n", F.when(F.col("cell") >= 0, shown).alias("shown"))
-    joined = F.concat_ws(":", F.col("n").cast("string"), F.array_join(F.array_sort(F.collect_list("shown")), "/"))
-    return cells.groupBy("rid", "side", "n").agg(joined.alias("fingerprint")).select("rid", "side", F.lower("fingerprint").alias("fingerprint"))
+def _turn(cells: DataFrame, keys: list[str], t: int) -> DataFrame:
+    """Cells of table t with one digest give it up: it leaves the cells of all tables and goes into `found`."""
+    pure = []
+    for i in range(CELLS):
+        one = f"abs(n{t}_{i}) = 1 AND {_check(f'k{t}_{i}')} = h{t}_{i}"
+        pure += [f"if({one}, {f}{t}_{i}, 0L) AS p{f}_{i}" for f in "nkh"]
+        pure += [f"{_at(f'k{t}_{i}', o)} AS at{o}_{i}" for o in range(TABLES) if o != t]
+    out = []
+    for name in _NAMES:
+        f, table, i = name[0], int(name[1]), int(name[3:])
+        gone = [f"p{f}_{i}"] if table == t else [f"if(at{table}_{j} = {i}, p{f}_{j}, 0L)" for j in range(CELLS)]
+        out.append((" - " if f == "n" else " ^ ").join([name, *gone]) + f" AS {name}")
+    some = " OR ".join(f"pn_{i} <> 0" for i in range(CELLS))
+    for side, n in (("plus", 1), ("minus", -1)):
+        new = ", ".join(f"if(pn_{i} = {n}, pk_{i}, NULL)" for i in range(CELLS))
+        out.append(f"if({some}, concat({side}, array_compact(array({new}))), {side}) AS {side}")
+    return cells.selectExpr(*keys, *_NAMES, "plus", "minus", *pure).selectExpr(*keys, *out)
 
 
-def peel(pairs: DataFrame, level: int, parts: int, recover: bool = False) -> DataFrame:
-    """(rid, pair, ok, plus, minus[, plus_digests, minus_digests]) from (rid, pair, a, b): digests on one side only.
+def peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ok, plus, minus): the digests that were recovered, by their sign; ok if no cell is left.
 
-    Level 0 uses the smallest sketch; level n > 0 has about 2 ** n cells for each digest of both sides.
+    Group or write the result before filtering it: a filter would be pushed down through all turns.
     """
-    salt = F.lit(level)
-    size = F.lit(SMALL) if not level else F.ceil((F.size("a") + F.size("b")) * (2.0**level / 3)).cast("int") + 4
-    zero = F.lit(0).cast("bigint")
-    rows = pairs.repartition(parts, "rid").select("rid", "pair", size.alias("s"), F.explode(F.concat(_signed("a", 1), _signed("b", -1))).alias("e"))
-    rows = rows.select("rid", "pair", "s", F.col("e.k").alias("k"), F.col("e.c").alias("c"))
-    cells = rows.select("rid", "pair", "s", "c", "k", F.explode(F.array(*[_cell(F.col("k"), t, F.col("s"), salt) for t in range(3)])).alias("cell"))
-    cells = cells.select("rid", "pair", "s", "cell", zero.alias("d"), "c", "k", check_of(F.col("k")).alias("h"))
-
-    def summed(df: DataFrame) -> DataFrame:
-        out = df.groupBy("rid", "pair", "s", "cell", "d").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-        return out.filter("cell < 0 OR c <> 0 OR k <> 0 OR h <> 0")
-
-    cells = summed(cells)
+    cells = cells.selectExpr(*keys, *_NAMES, "CAST(array() AS array<bigint>) AS plus", "CAST(array() AS array<bigint>) AS minus")
     for turn in range(TURNS):
-        t = turn % 3
-        pure = (F.col("cell") >= 0) & (F.col("cell") % 3 == t) & (F.abs("c") == 1) & (check_of(F.col("k")) == F.col("h"))
-        row = lambda cell, d, c, k, h: F.struct(cell.alias("cell"), d.alias("d"), c.alias("c"), k.alias("k"), h.alias("h"))
-        other = [row(_cell(F.col("k"), o, F.col("s"), salt), zero, -F.col("c"), F.col("k"), F.col("h")) for o in range(3) if o != t]
-        # A recovered digest is kept under cell -1 (first side) or -2 (second side); c counts them.
-        found = row(F.when(F.col("c") == 1, -1).otherwise(-2).cast("bigint"), F.col("k") if recover else zero, F.lit(1).cast("bigint"), zero, zero)
-        same = row(F.col("cell"), F.col("d"), F.col("c"), F.col("k"), F.col("h"))
-        cells = cells.select("rid", "pair", "s", F.explode(F.when(pure, F.array(found, *other)).otherwise(F.array(same))).alias("e")).select("rid", "pair", "s", "e.*")
-        cells = summed(cells)
-    side = lambda v: F.coalesce(F.sum(F.when(F.col("cell") == v, F.col("c"))), F.lit(0))
-    more = [F.array_sort(F.collect_list(F.when(F.col("cell") == v, F.col("d")))).alias(n) for v, n in ((-1, "plus_digests"), (-2, "minus_digests"))] if recover else []
-    return cells.groupBy("rid", "pair").agg((F.max("cell") < 0).alias("ok"), side(-1).alias("plus"), side(-2).alias("minus"), *more)
-
-
-def _signed(name: str, value: int) -> Column:
-    return F.transform(name, lambda k: F.struct(k.alias("k"), F.lit(value).cast("bigint").alias("c")))
-
-
-def differences(pairs: DataFrame, recover: bool = False) -> DataFrame:
-    """(rid, pair, plus, minus, ...) for all (rid bigint, pair int, a, b): each pair is retried larger until peeled."""
-    spark = pairs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done, left, level = None, pairs, 0
+        cells = _turn(cells, keys, turn % TABLES)
+    return cells.selectExpr(*keys, f"{' | '.join(_NAMES)} = 0 AS ok", "plus", "minus")
+
+
+def _part(level: int) -> Column:
+    """The part of a digest: dealt by a hash at first, then cut in four at each level; no number comes again on the way."""
+    part = F.pmod(F.xxhash64("k", F.lit("part")), F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("size") / PART))) + 1
+    for step in range(level):
+        part = part * 4 + F.shiftright(F.xxhash64("k", F.lit("cut")), 2 * step % 64).bitwiseAND(F.lit(3).cast("bigint"))
+    return part
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """(rid, pair, plus, minus) from (rid bigint, pair int, a, b): the digests of a that b lacks, and the reverse.
+
+    pairs: a written table, read once for each size that is tried. Pairs that do not differ have no row.
+    """
+    parts = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = lambda name, c: F.transform(name, lambda k: F.struct(k.alias("k"), F.lit(c).cast("bigint").alias("c")))
+    keys = ["rid", "pair", "part"]
+    done, failed, level = None, None, 0
     while True:
-        # Pairs whose sides are empty or equal leave no cell: they have no row below, and need none.
-        result = cut(peel(left, level, parts, recover))
-        fine = result.filter("ok").drop("ok")
+        rows = pairs if failed is None else pairs.join(failed.select("rid", "pair").distinct(), ["rid", "pair"], "left_semi")
+        rows = rows.repartition(parts, "rid").select("rid", "pair", F.size("a").cast("bigint").alias("na"), F.size("b").cast("bigint").alias("nb"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("e"))
+        rows = rows.select("rid", "pair", (F.col("na") + F.col("nb")).alias("size"), "e.k", "e.c")
+        if failed is not None:
+            rows = rows.withColumn("part", _part(level - 1)).join(failed, keys, "left_semi")
+        rows = rows.select("rid", "pair", _part(level).alias("part"), "k", "c")
+        # One row a pair: all that its parts gave, and the parts that gave not all.
+        got = lambda side: f"flatten(collect_list(if(ok AND size({side}) > 0, {side}, NULL))) AS {side}"
+        result = peeled(sketches(rows, keys), keys)
+        result = cut(result.groupBy("rid", "pair").agg(F.expr(got("plus")), F.expr(got("minus")), F.expr("collect_list(if(ok, NULL, part)) AS failed")))
+        fine = result.select("rid", "pair", "plus", "minus")
         done = fine if done is None else done.unionByName(fine)
-        failed = result.filter("NOT ok").select("rid", "pair")
+        failed = result.select("rid", "pair", F.explode("failed").alias("part"))
         if failed.isEmpty():
-            return done
-        left = pairs.join(failed, ["rid", "pair"], "left_semi")
+            break
         level += 1
+    both = lambda side: F.flatten(F.collect_list(side)).alias(side)
+    return done.groupBy("rid", "pair").agg(both("plus"), both("minus"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, next_text): each row with the text of the next in the order (doc_id, text), last to first."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LOW).cast("bigint")))
-    bounds = order_bounds(rows, "key", ROWS_PER_RANGE) or [0]
-    rows = rows.withColumn("range", bucket_of(F.col("key"), bounds))
-    # The first id of each range is also a guest at the end of the range before it.
-    first = F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("key")) if len(bounds) <= 64 else F.expr(f"array_contains(array({','.join(f'{b}L' for b in bounds)}), key)")
-    stay, guest = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("range") - 1, F.lit(len(bounds))).alias("range"), F.lit(1).alias("guest"))
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(first, F.array(stay, guest)).otherwise(F.array(stay))).alias("at")).select("doc_id", "text", "key", "at.*")
-    order = Window.partitionBy("range").orderBy("guest", "key", "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("row", F.row_number().over(order)).filter("guest = 0")
-    return rows.select((F.col("range").cast("bigint") * (1 << 40) + F.col("row")).alias("rid"), "doc_id", "text", "next_text")
+    """(doc_id, text, n_chars, copies, beginning, next_digests), one row for each different (doc_id, text).
+
+    beginning: the first n_chars div 4 characters of the next row's text; next_digests: those of its whole text.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("bigint")
+    key = ("known", "id", "crc")
+    rows = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0).cast("bigint")).alias("id"), F.xxhash64(text).alias("crc"), text.alias("text"))
+    classes = rows.select(*key, F.length("text").cast("bigint").alias("n_chars")).groupBy(*key).agg(F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
+    placed, n, _ = numbered(cut(classes), *key)
+    before = placed.select(*[F.col(c).alias(f"to_{c}") for c in key], (F.col("n_chars").bitwiseAND(F.lit(-4).cast("bigint")) / 4).cast("int").alias("wanted"), F.pmod(F.col("row") + 1, F.lit(max(1, n))).alias("row"))
+    order = cut(placed.join(before, "row").drop("row"))
+    texts = rows.groupBy(*key).agg(F.first("text").alias("text")).join(order, list(key))
+    sent = texts.select(*[F.col(f"to_{c}").alias(c) for c in key], F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("beginning"), digests(F.col("text")).alias("next_digests"))
+    own = texts.select(*key, "text", "n_chars", "copies")
+    return own.join(sent, list(key)).select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "text", "n_chars", "copies", "beginning", "next_digests")
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -138,17 +155,33 @@ def versions(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by the beginning of the next document.
     """
-    spark = docs.sparkSession
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
-    own, theirs = piece_words(F.col("n_chars")), piece_words(F.length("edited"))
-    edited = digests(F.col("edited"), own)
-    rows = cut(rows.select("rid", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text"), own).alias("u0"), edited.alias("u1"), digests(F.col("next_text"), own).alias("u2"), F.when(own == theirs, None).otherwise(digests(F.col("edited"), theirs)).alias("u3")))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sides = rows.repartition(parts, "rid").select("rid", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u0").alias("digests")), F.struct(F.lit(1).alias("side"), F.coalesce("u3", "u1").alias("digests")))).alias("x")).select("rid", "x.*")
-    prints = small_sketches(sides).groupBy("rid").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    pairs = rows.select("rid", F.explode(F.array(F.struct(F.lit(1).alias("pair"), F.col("u0").alias("a"), F.col("u1").alias("b")), F.struct(F.lit(2).alias("pair"), F.col("u0").alias("a"), F.col("u2").alias("b")))).alias("x")).select("rid", "x.*")
-    apart = differences(pairs).groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("plus") + F.col("minus"))).alias(f"apart{p}") for p in (1, 2)])
-    near = lambda p: F.coalesce(1 - F.try_divide(F.coalesce(F.col(f"apart{p}"), F.lit(0)), F.size("u0") + F.size(f"u{p}")), F.lit(1.0))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Of equal rows, all but one have an equal next row.
+    times = lambda again, n: F.struct(F.lit(again).alias("again"), n.cast("bigint").alias("times"))
+    last, rest = times(False, F.lit(1)), times(True, F.col("copies") - 1)
+    rows = with_next(docs).select("*", F.explode(F.when(F.col("copies") > 1, F.array(last, rest)).otherwise(F.array(last))).alias("e"))
+    kept, quarter = F.col("n_chars") - F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 4).cast("int")
+    start = lambda text, n: F.substring(text, F.lit(1), n.cast("int"))
+    edited = F.concat(start(F.col("text"), kept), F.when(F.col("e.again"), start(F.col("text"), quarter)).otherwise(F.col("beginning")))
+    rows = rows.select("doc_id", "n_chars", "e.*", edited.alias("edited"), digests(F.col("text")).alias("own"), "next_digests")
+    after = F.when(F.col("again"), F.col("own")).otherwise(F.col("next_digests"))
+    rows = rows.select("doc_id", "n_chars", "times", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), after.alias("after"))
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
+
+    side = lambda n, name: F.struct(F.lit(n).alias("side"), F.col(name).alias("u"))
+    sides = rows.repartition(parts, "rid").select("rid", F.explode(F.array(side(0, "own"), side(1, "changed"))).alias("x")).select("rid", "x.side", F.explode_outer("x.u").alias("k"))
+    sides = sketches(sides.select("rid", "side", "k", F.lit(0).cast("bigint").alias("part"), F.col("k").isNotNull().cast("bigint").alias("c")), ["rid", "side", "part"])
+    count = F.expr(" + ".join(f"n0_{i}" for i in range(CELLS)))
+    shown = F.lower(F.concat_ws(".", count.cast("string"), *[F.when(F.col(f"n{c[1:]}") != 0, F.hex(c)).otherwise("-") for c in _NAMES]))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("shown")))
+    prints = sides.select("rid", "side", shown.alias("shown")).groupBy("rid").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+
+    pair = lambda n, name: F.struct(F.lit(n).alias("pair"), F.col("own").alias("a"), F.col(name).alias("b"))
+    pairs = rows.select("rid", F.explode(F.array(pair(1, "changed"), pair(2, "after"))).alias("x")).select("rid", "x.*")
+    apart = differences(pairs).select("rid", "pair", (F.size("plus") + F.size("minus")).alias("n"))
+    apart = apart.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("n"))).alias(f"apart{p}") for p in (1, 2)])
+    near = lambda p, name: F.coalesce(1 - F.try_divide(F.coalesce(F.col(f"apart{p}"), F.lit(0)), F.size("own") + F.size(name)), F.lit(1.0))
     out = rows.repartition(parts, "rid").join(prints, "rid").join(apart, "rid", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(1).alias("near_edited"), near(2).alias("near_next"))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    out = out.select(*names, near(1, "changed").alias("near_edited"), near(2, "after").alias("near_next"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return out.drop("col")

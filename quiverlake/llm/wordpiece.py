@@ -7,7 +7,11 @@ counts: the number of greedy longest-match pieces comes out in time linear in th
 A word that cannot be cut into pieces is one unknown token, as in WordPiece.
 
 Words are maximal runs of letters, digits and underscores; any other character but white space is a word of its
-own. A null or empty text has no words. Any length of word is read whole.
+own. A Python worker builds the default automaton once, for all its tasks.
+
+Cases: a null or empty text has no words. Words and texts of any length are read whole. Greedy matching has no ties.
+Repeated rows are counted alike, row by row; an empty table gives an empty table. Only doc_id and text of the input are
+looked at, so other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .common import worker_memory
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Words that a worker remembers; emptied when full. Longer words than LONG are not kept.
@@ -104,6 +109,14 @@ class _Known(dict):
         return value
 
 
+def _default_words() -> _Known:
+    """The words of the default vocabulary that this Python process has seen; built once in it."""
+    memory = worker_memory()
+    if "words" not in memory:
+        memory["words"] = _Known(Matcher(*default_vocabulary()))
+    return memory["words"]
+
+
 SCHEMA = "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint"
 
 
@@ -111,7 +124,7 @@ def token_counts(docs: DataFrame, vocabulary: tuple[list[str], list[str]] | None
     """One row per document: words, tokens and how many of the tokens are unknown words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(Matcher(*(vocabulary or default_vocabulary())))
+        known = _Known(Matcher(*vocabulary)) if vocabulary else _default_words()
         for part in slices(batches):
             rows = []
             for text in part.column("text").to_pylist():

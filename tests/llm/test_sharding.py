@@ -1,6 +1,6 @@
 import zlib
 
-from quiverlake.llm import common, sharding
+from quiverlake.llm import sharding
 
 
 def brute(rows, shards=40):
@@ -20,18 +20,13 @@ def compare(spark, rows, **more):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows, **more), key=key)
 
 
-def test_table(spark, sf_dir, monkeypatch):
+def test_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     compare(spark, rows)
-    small = common.order_bounds
-    monkeypatch.setattr(sharding, "order_bounds", lambda df, key: small(df, key, rows_per_bucket=16))
-    compare(spark, rows)
     compare(spark, [(i * 1000, t) for i, t in rows], shards=7)
 
 
-def test_ids_beyond_doubles(spark, monkeypatch):
-    small = common.order_bounds
-    monkeypatch.setattr(sharding, "order_bounds", lambda df, key: small(df, key, rows_per_bucket=2))
+def test_ids_beyond_doubles(spark):
     rows = [((1 << 62) + 3 * i, f"t{i}") for i in range(200)] + [(i * 0x123456789ABCDE1 % (1 << 63), "h" * i) for i in range(200)] + [(None, "n")]
     compare(spark, rows)
 
@@ -41,3 +36,7 @@ def test_edges(spark):
     compare(spark, [(7, "same")] * 300)
     compare(spark, [(1, "one")])
     assert sharding.balanced_shards(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_one_id_on_many_rows(spark):
+    compare(spark, [(7, "x" * (i % 50)) for i in range(400)] + [(None, f"null {i}") for i in range(300)] + [(i, "y") for i in range(50)])

@@ -7,12 +7,8 @@ import xxhash
 from quiverlake.llm import sketch
 
 
-def pieces(text, words):
-    return {xxhash.xxh64_intdigest(p.rstrip(" ").encode(), 42) for p in re.findall(r"(?:\S+[^\S\n]*){1,%d}" % words, text, re.ASCII)}
-
-
-def words_of(n):
-    return 1 << max(0, min(6, math.floor(math.log2(max(n, 1) / 128))))
+def pieces(text):
+    return {xxhash.xxh64_intdigest(p.rstrip(" ").encode(), 42) for p in re.findall(r"(?:\S+[^\S\n]*){1,%d}" % sketch.WORDS, text, re.ASCII)}
 
 
 def likeness(a, b):
@@ -20,17 +16,18 @@ def likeness(a, b):
 
 
 def brute(docs):
+    """Rows of equal id in any order of their texts that their checksums give: tests have one text an id, or say so."""
     docs = sorted(((i, t or "") for i, t in docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     out = []
     for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
-        w = words_of(len(t))
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(pieces(t, w), pieces(edited, w)), 12), round(likeness(pieces(t, w), pieces(after, w)), 12), t, edited))
+        own = pieces(t)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(own, pieces(edited)), 12), round(likeness(own, pieces(after)), 12), t, edited))
     return out
 
 
-def check(spark, docs, monkeypatch=None):
+def check(spark, docs):
     got = sketch.versions(spark.createDataFrame(docs, "doc_id bigint, text string, rid string")).collect()
     want = brute([d[:2] for d in docs])
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:5])
@@ -45,15 +42,13 @@ def check(spark, docs, monkeypatch=None):
     return got
 
 
-def test_table(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(sketch, "ROWS_PER_RANGE", 16)
+def test_table(spark, sf_dir):
     docs = [(r.doc_id * 7, r.text, "x") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = check(spark, docs)
     assert sum(r.near_edited for r in got) / len(got) > 0.6 > 0.2 > sum(r.near_next for r in got) / len(got)
 
 
-def test_ids_beyond_doubles(spark, monkeypatch):
-    monkeypatch.setattr(sketch, "ROWS_PER_RANGE", 2)
+def test_ids_beyond_doubles(spark):
     check(spark, [((1 << 62) + 3 * i, f"text {i} of many", "x") for i in range(100)] + [(i * 0x123456789ABCDE1 % (1 << 63), "h " * i, "x") for i in range(1, 100)] + [(None, "n", "x")])
 
 
@@ -68,6 +63,18 @@ def test_edges(spark, monkeypatch):
 def test_recovers_digests(spark):
     a, b = list(range(1, 400)), list(range(200, 420))
     pairs = spark.createDataFrame([(1, 1, a, b), (2, 1, a, a), (3, 1, [], b), (4, 1, [7], [8])], "rid bigint, pair int, a array<bigint>, b array<bigint>")
-    got = {r.rid: r for r in sketch.differences(pairs, recover=True).collect()}
-    assert got[1].plus_digests == list(range(1, 200)) and got[1].minus_digests == list(range(400, 420))
-    assert 2 not in got and got[3].minus_digests == b and (got[4].plus_digests, got[4].minus_digests) == ([7], [8])
+    got = {r.rid: (sorted(r.plus), sorted(r.minus)) for r in sketch.differences(pairs).collect()}
+    assert got[1] == (list(range(1, 200)), list(range(400, 420)))
+    assert got.get(2, ([], [])) == ([], []) and got[3] == ([], b) and got[4] == ([7], [8])
+
+
+def test_likeness_is_that_of_the_two_rows_fingerprints(spark):
+    """Two documents, each the other's next: equal near_next; an id that many rows and texts share is one range of rows."""
+    line = lambda words: " ".join(words)
+    one = "\n".join(line(f"w{i}x{j}" for j in range(30)) for i in range(40))
+    two = "\n".join(line(f"w{i}x{j}" for j in range(30)) for i in range(10, 90))
+    got = sketch.versions(spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")).collect()
+    assert got[0].near_next == got[1].near_next and abs(got[0].near_next - 0.5) < 0.01
+    docs = [(5, one)] * 30 + [(6, f"text {i}") for i in range(60)]
+    got = sketch.versions(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(got) == 90 and sum(r.near_next == 1 for r in got) == 29 and len({r.fingerprint for r in got}) == 61
