@@ -14,6 +14,15 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("_quiverlake_worker", types.ModuleType("_quiverlake_worker")).__dict__
 
 
+def fresh(taken: list[str], stem: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    names = {c.lower() for c in taken}
+    name = f"__ql_{stem}"
+    while name in names:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder. Where none is set, a local master (tests, bench) uses its warehouse."""
     sc = spark.sparkContext
@@ -57,11 +66,10 @@ def numbered(df: DataFrame, *order: str, weight: str | None = None) -> tuple[Dat
     placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("row", 33).cast("int"))
     size = F.col(weight) if weight else F.lit(0)
-    table, n, total = [], 0, 0
-    for part, rows, heavy in sorted(placed.groupBy("part").agg(F.count(F.lit(1)), F.sum(size)).collect()):
-        table.append((part, n, total))
-        n, total = n + rows, total + heavy
-    starts = df.sparkSession.createDataFrame(table, "part int, start bigint, ahead bigint")
+    sums = cut(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("heavy")))  # a row for each partition
+    n, total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("heavy"), F.lit(0))).first()
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(to) for c, to in (("n", "start"), ("heavy", "ahead"))])
     local = F.col("row").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
     out = placed.join(F.broadcast(starts), "part")
     more = []

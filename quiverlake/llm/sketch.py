@@ -35,6 +35,8 @@ from .common import cut, numbered
 #: Words of a piece at most; cells of a table; digests of both sides that a part has on average.
 WORDS, CELLS, PART = 24, 4, 2.0
 TABLES = 3
+#: Failed parts up to this many are broadcast, about 60 bytes each; more are joined by shuffle.
+MAX_BROADCAST = 200_000
 #: Turns of peeling, one table each; more is left to the next size.
 TURNS = 6
 _PIECE = rf"(?:\S++[^\S\n]*+){{1,{WORDS}}}+"
@@ -83,14 +85,18 @@ def _turn(cells: DataFrame, keys: list[str], t: int) -> DataFrame:
 
 
 def peeled(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ok, plus, minus): the digests that were recovered, by their sign; ok if no cell is left.
+    """(keys, shown, ok, plus, minus): the sketches as text where pair < 0, which are not peeled, and the digests that
+    were recovered from the others, by their sign; ok if no cell is left.
 
     Group or write the result before filtering it: a filter would be pushed down through all turns.
     """
-    cells = cells.selectExpr(*keys, *_NAMES, "CAST(array() AS array<bigint>) AS plus", "CAST(array() AS array<bigint>) AS minus")
+    count = " + ".join(f"n0_{i}" for i in range(CELLS))
+    shown = ", ".join(f"if(n{c[1:]} <> 0, hex({c}), '-')" for c in _NAMES)
+    none = "CAST(array() AS array<bigint>)"
+    cells = cells.selectExpr(*keys, f"if(pair < 0, lower(concat_ws('.', {count}, {shown})), NULL) AS shown", *_NAMES, f"{none} AS plus", f"{none} AS minus")
     for turn in range(TURNS):
-        cells = _turn(cells, keys, turn % TABLES)
-    return cells.selectExpr(*keys, f"{' | '.join(_NAMES)} = 0 AS ok", "plus", "minus")
+        cells = _turn(cells, [*keys, "shown"], turn % TABLES)
+    return cells.selectExpr(*keys, "shown", f"{' | '.join(_NAMES)} = 0 OR pair < 0 AS ok", "plus", "minus")
 
 
 def _part(level: int) -> Column:
@@ -101,34 +107,44 @@ def _part(level: int) -> Column:
     return part
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(rid, pair, plus, minus) from (rid bigint, pair int, a, b): the digests of a that b lacks, and the reverse.
+def differences(rows: DataFrame, pairs: Column, recover: bool = True) -> DataFrame:
+    """(rid, pair, shown, plus, minus) of each pair of rows: the digests of a that b lacks, and the reverse, or their numbers.
 
-    pairs: a written table, read once for each size that is tried. Pairs that do not differ have no row.
+    rows: a written table with a bigint rid; pairs: array<struct<pair int, a, b>> of its columns. A pair below 0 is not
+    compared: its a is shown as one sketch. Pairs without digests have no row. Each size that is tried reads rows once.
     """
-    parts = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = lambda name, c: F.transform(name, lambda k: F.struct(k.alias("k"), F.lit(c).cast("bigint").alias("c")))
+    parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = lambda keys, c: F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(c).cast("bigint").alias("c")))
     keys = ["rid", "pair", "part"]
+
+    def exploded(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("rid", *more, F.explode(pairs).alias("p")).select("rid", *more, "p.*")
+        rows = rows.select("rid", "pair", *more, (F.size("a") + F.size("b")).alias("size"), F.explode(F.concat(signed(F.col("a"), 1), signed(F.col("b"), -1))).alias("e"))
+        return rows.select("rid", "pair", *more, "size", "e.k", "e.c")
+
+    got = "flatten(collect_list(if(ok AND size({0}) > 0, {0}, NULL))) AS {0}" if recover else "sum(if(ok, size({0}), 0)) AS {0}"
     done, failed, level = None, None, 0
     while True:
-        rows = pairs if failed is None else pairs.join(failed.select("rid", "pair").distinct(), ["rid", "pair"], "left_semi")
-        rows = rows.repartition(parts, "rid").select("rid", "pair", F.size("a").cast("bigint").alias("na"), F.size("b").cast("bigint").alias("nb"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("e"))
-        rows = rows.select("rid", "pair", (F.col("na") + F.col("nb")).alias("size"), "e.k", "e.c")
-        if failed is not None:
-            rows = rows.withColumn("part", _part(level - 1)).join(failed, keys, "left_semi")
-        rows = rows.select("rid", "pair", _part(level).alias("part"), "k", "c")
+        if failed is None:
+            found = exploded(rows.repartition(parts, "rid"))
+        else:
+            # The digests of the parts that failed, by a broadcast where those are few.
+            failed = F.broadcast(failed) if n <= MAX_BROADCAST else failed
+            found = exploded(rows.join(failed, "rid"), "failed").withColumn("part", _part(level - 1))
+            found = found.filter(F.array_contains("failed", F.struct("pair", "part"))).drop("failed", "part").repartition(parts, "rid")
+        found = found.select("rid", "pair", F.when(F.col("pair") < 0, F.lit(0).cast("bigint")).otherwise(_part(level)).alias("part"), "k", "c")
         # One row a pair: all that its parts gave, and the parts that gave not all.
-        got = lambda side: f"flatten(collect_list(if(ok AND size({side}) > 0, {side}, NULL))) AS {side}"
-        result = peeled(sketches(rows, keys), keys)
-        result = cut(result.groupBy("rid", "pair").agg(F.expr(got("plus")), F.expr(got("minus")), F.expr("collect_list(if(ok, NULL, part)) AS failed")))
-        fine = result.select("rid", "pair", "plus", "minus")
+        result = peeled(sketches(found, keys), keys).groupBy("rid", "pair")
+        result = cut(result.agg(F.max("shown").alias("shown"), *[F.expr(got.format(side)) for side in ("plus", "minus")], F.expr("collect_list(if(ok, NULL, struct(pair, part))) AS failed")))
+        fine = result.drop("failed")
         done = fine if done is None else done.unionByName(fine)
-        failed = result.select("rid", "pair", F.explode("failed").alias("part"))
-        if failed.isEmpty():
+        failed = result.filter(F.size("failed") > 0).groupBy("rid").agg(F.flatten(F.collect_list("failed")).alias("failed"))
+        n, = result.agg(F.coalesce(F.sum(F.size("failed")), F.lit(0))).first()
+        if not n:
             break
         level += 1
-    both = lambda side: F.flatten(F.collect_list(side)).alias(side)
-    return done.groupBy("rid", "pair").agg(both("plus"), both("minus"))
+    joined = lambda side: (F.flatten(F.collect_list(side)) if recover else F.sum(side)).alias(side)
+    return done.groupBy("rid", "pair").agg(F.max("shown").alias("shown"), joined("plus"), joined("minus"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -168,20 +184,17 @@ def versions(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "n_chars", "times", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), after.alias("after"))
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
 
-    side = lambda n, name: F.struct(F.lit(n).alias("side"), F.col(name).alias("u"))
-    sides = rows.repartition(parts, "rid").select("rid", F.explode(F.array(side(0, "own"), side(1, "changed"))).alias("x")).select("rid", "x.side", F.explode_outer("x.u").alias("k"))
-    sides = sketches(sides.select("rid", "side", "k", F.lit(0).cast("bigint").alias("part"), F.col("k").isNotNull().cast("bigint").alias("c")), ["rid", "side", "part"])
-    count = F.expr(" + ".join(f"n0_{i}" for i in range(CELLS)))
-    shown = F.lower(F.concat_ws(".", count.cast("string"), *[F.when(F.col(f"n{c[1:]}") != 0, F.hex(c)).otherwise("-") for c in _NAMES]))
-    of = lambda n: F.max(F.when(F.col("side") == n, F.col("shown")))
-    prints = sides.select("rid", "side", shown.alias("shown")).groupBy("rid").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
-
-    pair = lambda n, name: F.struct(F.lit(n).alias("pair"), F.col("own").alias("a"), F.col(name).alias("b"))
-    pairs = rows.select("rid", F.explode(F.array(pair(1, "changed"), pair(2, "after"))).alias("x")).select("rid", "x.*")
-    apart = differences(pairs).select("rid", "pair", (F.size("plus") + F.size("minus")).alias("n"))
-    apart = apart.groupBy("rid").agg(*[F.max(F.when(F.col("pair") == p, F.col("n"))).alias(f"apart{p}") for p in (1, 2)])
-    near = lambda p, name: F.coalesce(1 - F.try_divide(F.coalesce(F.col(f"apart{p}"), F.lit(0)), F.size("own") + F.size(name)), F.lit(1.0))
-    out = rows.repartition(parts, "rid").join(prints, "rid").join(apart, "rid", "left")
+    none = F.array().cast("array<bigint>")
+    pair = lambda n, a, b: F.struct(F.lit(n).alias("pair"), F.col(a).alias("a"), (F.col(b) if b else none).alias("b"))
+    pairs = F.array(pair(-1, "own", None), pair(-2, "changed", None), pair(1, "own", "changed"), pair(2, "own", "after"))
+    found = differences(rows.select("rid", "own", "changed", "after"), pairs, recover=False)
+    of = lambda n, value: F.max(F.when(F.col("pair") == n, value))
+    apart = F.col("plus") + F.col("minus")
+    found = found.groupBy("rid").agg(of(-1, F.col("shown")).alias("f0"), of(-2, F.col("shown")).alias("f1"), of(1, apart).alias("apart1"), of(2, apart).alias("apart2"))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("own", "changed", "after")]
+    out = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "times", *sizes).join(found, "rid", "left")
+    empty = F.lit(".".join(["0", *["-"] * len(_NAMES)]))
+    near = lambda p, name: F.coalesce(1 - F.try_divide(F.coalesce(F.col(f"apart{p}"), F.lit(0)), F.col("n_own") + F.col(f"n_{name}")), F.lit(1.0))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-    out = out.select(*names, near(1, "changed").alias("near_edited"), near(2, "after").alias("near_next"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-    return out.drop("col")
+    out = out.withColumns({"fingerprint": F.coalesce("f0", empty), "edited_fingerprint": F.coalesce("f1", empty)})
+    return out.select(*names, near(1, "changed").alias("near_edited"), near(2, "after").alias("near_next"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("col")

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 
+import pytest
 import xxhash
 
 from quiverlake.llm import sketch
@@ -60,10 +61,13 @@ def test_edges(spark, monkeypatch):
     assert sketch.versions(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_recovers_digests(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_recovers_digests(spark, monkeypatch, most):
+    monkeypatch.setattr(sketch, "MAX_BROADCAST", most)
     a, b = list(range(1, 400)), list(range(200, 420))
-    pairs = spark.createDataFrame([(1, 1, a, b), (2, 1, a, a), (3, 1, [], b), (4, 1, [7], [8])], "rid bigint, pair int, a array<bigint>, b array<bigint>")
-    got = {r.rid: (sorted(r.plus), sorted(r.minus)) for r in sketch.differences(pairs).collect()}
+    rows = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], b), (4, [7], [8])], "rid bigint, a array<bigint>, b array<bigint>")
+    pairs = sketch.F.expr("array(struct(1 AS pair, a, b))")
+    got = {r.rid: (sorted(r.plus), sorted(r.minus)) for r in sketch.differences(rows, pairs).collect()}
     assert got[1] == (list(range(1, 200)), list(range(400, 420)))
     assert got.get(2, ([], [])) == ([], []) and got[3] == ([], b) and got[4] == ([7], [8])
 
