@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_unit
+from .common import cut, fresh, hash_unit
 
 #: Poisson means up to this are inverted in one step.
 MAX_PART = 64.0
@@ -71,15 +71,16 @@ def replicate(docs: DataFrame, targets: dict[str, float] | None = None, alpha: f
     uniformly shuffled corpus. Input columns named like the two new ones are replaced.
     """
     docs = docs.drop(copy_col, key_col)
+    src, parts_, cdf, n = (fresh([*docs.columns, copy_col, key_col], x) for x in ("src", "parts", "cdf", "n"))
     rates = source_rates(docs, targets, alpha, budget)
     parts = F.ceil(F.col("rate") / MAX_PART).cast("int")
-    tables = rates.filter("rate > 0").select(F.col("src").alias("__ql_src"), parts.alias("__ql_parts"), poisson_table(F.col("rate") / parts).alias("__ql_cdf"))
+    tables = rates.filter("rate > 0").select(F.col("src").alias(src), parts.alias(parts_), poisson_table(F.col("rate") / parts).alias(cdf))
     if tables.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    draw = lambda i: F.size(F.filter(F.col("__ql_cdf"), lambda c: c < hash_unit(F.lit(seed), docs["doc_id"], i)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__ql_parts")), F.lit(0), lambda acc, i: acc + draw(i))
-    out = docs.join(tables, docs["source"].eqNullSafe(F.col("__ql_src"))).withColumn("__ql_n", count).filter("__ql_n > 0")
-    out = out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("__ql_n") - 1)).alias(copy_col))
+    draw = lambda i: F.size(F.filter(F.col(cdf), lambda c: c < hash_unit(F.lit(seed), docs["doc_id"], i)))
+    count = F.aggregate(F.sequence(F.lit(1), F.col(parts_)), F.lit(0), lambda acc, i: acc + draw(i))
+    out = docs.join(tables, docs["source"].eqNullSafe(F.col(src))).withColumn(n, count).filter(F.col(n) > 0)
+    out = out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy_col))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy_col).cast("string")).cast("binary"))
     out = out.withColumn(key_col, F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint"))
     return out.repartitionByRange(F.col(key_col)).sortWithinPartitions(key_col, "doc_id", copy_col) if shuffle else out

@@ -9,8 +9,11 @@ search over the members not reached yet, so only one link for each member leaves
 fingerprints costs about its length. No bucket is capped; a worker holds one bucket at a time, 24 to 40 bytes a
 distinct fingerprint.
 
-Null and empty texts have fingerprint zero and link like any other. Equal rows have equal fingerprints. Only
-fingerprints, never texts, are shuffled.
+Cases: null and empty texts have fingerprint zero and link like any other. Texts of any length are read whole, RUN
+shingles at a time. Repeated rows have equal fingerprints and are one entry of the index; a bit that exactly half of
+the hashes have is 0; an empty table gives an empty table. near_duplicates looks at doc_id and text alone, so other
+columns clash with nothing; deduplicated passes all columns and takes working names that none of them has. Only
+fingerprints, never texts, are shuffled to find links.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import cut
+from .common import cut, fresh
 from .components import connected_components
 
 SEED = 42
@@ -91,6 +94,19 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int | None) -> float:
     return 1.0 if not len(both) else float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
 
 
+def anchored(shingles: np.ndarray, words: list[int]) -> np.ndarray:
+    """The keys under which deduplication indexes a text: KEYS of them, from its shingle set and its fingerprint.
+
+    Key i is a hash of i, the i-th SEGMENT bits of the fingerprint and two min-wise hashes of the set.
+    """
+    low = np.full(2 * KEYS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 2048):
+        low = np.minimum(low, ((shingles[at : at + 2048, None].astype(np.uint64) ^ _XOR) * _TIMES).min(axis=0))
+    segments = np.array(words, dtype="<u8").view(f"<u{SEGMENT // 8}")[:KEYS].astype(np.uint64)
+    first, second = low[::2], low[1::2]
+    return _mixed(_mixed(_mixed(segments + np.arange(KEYS, dtype=np.uint64) * np.uint64(1 << SEGMENT), 1) ^ first, 2) ^ second, 3)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, w0, w1, ...): the words as signed longs."""
     return _prints(docs, words, lambda t: (fingerprint(t, width, words),))
@@ -220,7 +236,9 @@ def links(nodes: DataFrame, segments: int, segment_bits: int, limit: int, words:
         if shift + segment_bits > 64:  # a segment across two words
             value = value.bitwiseOR(F.shiftleft(F.col(f"w{word + 1}"), 64 - shift))
         keys.append(variants(s, value.bitwiseAND(F.lit(mask).cast("bigint"))))
-    index = nodes.select(F.explode(F.concat(*keys)).alias("key"), *names)
+    # Dealt anew: the few rows become many, so they must not sit in as few tasks as they would fill.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = nodes.repartition(parts, "w0").select(F.explode(F.concat(*keys)).alias("key"), *names)
     # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
     index = index.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "w0"))
 
@@ -250,19 +268,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: What deduplication uses: two texts are alike at SIMILARITY or more of their five-word shingles. To find them,
-#: 1,024-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into 64 segments of 16
-#: bits; two texts meet where one segment is equal. At 0.8 a bit differs with a probability of 0.152 even if the edit
-#: is one block (scattered edits: less), so a pair meets with 1 - (1 - 0.848 ** 16) ** 64 = 0.991, at 0.85 with
-#: 0.9994. Pairs that meet are checked if they differ by at most NEAR[k] bits of the first k words: three standard
-#: deviations and more above what such a pair differs by.
+#: 256-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into 32 segments of 8 bits, and
+#: a segment is indexed together with two min-wise hashes of the five-word shingles: equal keys need a common text, so
+#: buckets do not fill up as the corpus grows, however short the segments are. At 0.8 a bit differs with a probability
+#: of 0.152 even if the edit is one block (scattered edits: less), so a pair meets with
+#: 1 - (1 - 0.8 ** 2 * 0.848 ** 8) ** 32 = 0.997, at 0.85 with 0.99999. One-wildcard variants of the segments would
+#: multiply the index by 9 for 2.4 times the chance of a key, so more keys are the cheaper way here. Pairs that meet
+#: are checked if they differ by at most NEAR[k] bits of the first k words: four standard deviations above what a pair
+#: at 0.8 differs by.
 SIMILARITY, WIDTH, CANDIDATE_WIDTH, SKETCH = 0.8, 5, 3, 256
-WORDS, NEAR = 16, {3: 46, 16: 196}
+WORDS, SEGMENT, NEAR = 4, 8, {2: 36, 4: 64}
+KEYS = WORDS * 64 // SEGMENT
+_TIMES, _XOR = (np.random.default_rng([SEED, k]).integers(0, 1 << 63, 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 2))
 #: Four standard errors of a likeness estimated from sketches, at SIMILARITY.
 DOUBT = 4 * (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5
 
 
 def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
-    """Edges (a, b), a < b, between w0 values of nodes (w0, bits) that share a segment and differ by NEAR[words] bits at most.
+    """Edges (a, b), a < b, between w0 values of nodes (w0, bits, keys) that share a key and differ by NEAR[words] bits at most.
 
     They connect all such nodes. With labelled, nodes have a label too, and all such pairs of different label are edges.
     """
@@ -272,11 +295,10 @@ def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype="<u8").reshape(-1, WORDS)
-                segments = bits.view("<u2").astype(np.int64)
-                keys = segments + (np.arange(segments.shape[1]) << 16)
-                rest = [part.column("w0").to_numpy(), *bits.view(np.int64)[:, :words].T, *([part.column("label").to_numpy()] if labelled else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, keys.shape[1])) for c in rest)], names)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype="<i8").reshape(-1, WORDS)
+                keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype="<i8")
+                rest = [part.column("w0").to_numpy(), *bits[:, :words].T, *([part.column("label").to_numpy()] if labelled else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, KEYS)) for c in rest)], names)
 
     index = nodes.mapInArrow(expand, ", ".join(f"{n} bigint" for n in names))
     # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
@@ -318,7 +340,7 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, siz
 
 
 def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between alike classes (w0, bits) that connect all which meet and are alike.
+    """Edges (a, b) between alike classes (w0, bits, keys) that connect all which meet and are alike.
 
     First the members of each bucket are connected by few edges, whatever its size, and these are verified. Where all
     hold, nothing is left to find. A pair that the first edges do not connect has a refused edge at both of its verified
@@ -329,7 +351,7 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
         ends = edges.select(F.col("a").alias("w0")).union(edges.select("b")).distinct()
         return prints.select("w0", "shingles").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("shingles").alias("shingles"))
 
-    met = cut(meetings(classes.select("w0", "bits"), 3).distinct())
+    met = cut(meetings(classes.select("w0", "bits", "keys"), 2).distinct())
     sure = cut(alike(met, sets_of(met)))
     roots = cut(connected_components(sure))
     label = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
@@ -338,8 +360,8 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
     open_ = cut(refused.select(F.col("x").alias("label")).union(refused.select("y")).distinct())
     if open_.isEmpty():
         return sure
-    nodes = classes.select("w0", "bits").join(label("w0"), "w0", "left").select("w0", "bits", F.coalesce("root_w0", "w0").alias("label"))
-    more = meetings(nodes.join(open_, "label", "left_semi").select("w0", "bits", "label"), WORDS, labelled=True).distinct()
+    nodes = classes.select("w0", "bits", "keys").join(label("w0"), "w0", "left").select("w0", "bits", "keys", F.coalesce("root_w0", "w0").alias("label"))
+    more = meetings(nodes.join(open_, "label", "left_semi").select("w0", "bits", "keys", "label"), WORDS, labelled=True).distinct()
     more = cut(more.join(met, ["a", "b"], "left_anti"))
     return sure.union(alike(more, sets_of(more)))
 
@@ -347,19 +369,22 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that repeat both id and text stay as one row. Rows without a doc_id are not judged: all of them stay. Of a
-    doc_id with several texts, all stay if one of them does.
+    Texts of equal words are one class, named by 64 bits of XXH64 of them. Rows that repeat both id and text stay as one
+    row. Rows without a doc_id are not judged: all of them stay. Of a doc_id with several texts, all stay if one does.
     """
 
     def of(text: str | None) -> tuple:
-        words = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True)
-        return words[:1], np.array(words, dtype="<u8").tobytes(), bottom(text, WIDTH).tobytes()
+        words, shingles = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True), bottom(text, WIDTH)
+        same = xxhash.xxh64_intdigest(b" ".join(_words(text)), SEED)
+        return [same], np.array(words, dtype="<u8").tobytes(), anchored(shingles, words).tobytes(), shingles.tobytes()
 
-    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "shingles"))
-    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"))
+    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "keys", "shingles"))
+    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("keys").alias("keys"))
     found = cut(groups(classes.select("w0", "least"), alike_links(classes, prints)))
     kept = prints.select("doc_id", "w0").join(found, F.col("w0") == F.col("of")).filter(F.col("doc_id") == F.col("component_id"))
-    kept = cut(kept.groupBy(F.col("doc_id").alias("__ql_id")).agg(F.count(F.lit(1)).alias("__ql_n")))
-    chosen = lambda which: docs.join(kept.filter(which), docs["doc_id"] == F.col("__ql_id"), "left_semi")
-    out = chosen("__ql_n = 1").unionByName(docs.filter("doc_id IS NULL"))
-    return out if kept.filter("__ql_n > 1").isEmpty() else out.unionByName(chosen("__ql_n > 1").dropDuplicates(["doc_id", "text"]))
+    id_, n = fresh(docs.columns, "id"), fresh(docs.columns, "n")
+    kept = cut(kept.groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(n)))
+    chosen = lambda which: docs.join(kept.filter(which), docs["doc_id"] == F.col(id_), "left_semi")
+    out = chosen(F.col(n) == 1).unionByName(docs.filter("doc_id IS NULL"))
+    several = kept.filter(F.col(n) > 1)
+    return out if several.isEmpty() else out.unionByName(chosen(F.col(n) > 1).dropDuplicates(["doc_id", "text"]))
