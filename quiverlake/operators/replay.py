@@ -44,3 +44,11 @@ def live_count(log: DataFrame, dim: int | None = None) -> DataFrame:
 def merge_snapshot(base: DataFrame, log: DataFrame, dim: int | None, after: int) -> DataFrame:
     """A base snapshot that covers seq <= after, brought up to date by the rest of the log."""
     return base.join(touched(log, dim, after), "id", "left_anti").unionByName(snapshot(log, dim, after))
+
+
+def latest(log: DataFrame, dim: int | None = None) -> DataFrame:
+    """The last accepted operation of each id, deletes too: a shorter log with the same snapshot and touched ids."""
+    last = F.max_by(F.struct("op", "vector"), F.struct("seq", "op_idx")).alias("last")
+    at = F.max(F.struct("seq", "op_idx")).alias("at")
+    found = accepted(log, dim).groupBy("id").agg(last, at)
+    return found.select("at.seq", "at.op_idx", "last.op", "id", "last.vector")

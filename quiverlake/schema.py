@@ -26,9 +26,9 @@ MAX_K = 10_000
 
 
 def check_k(k: int) -> int:
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    return min(k, MAX_K)
+    if not 1 <= k <= MAX_K:
+        raise ValueError(f"k must be from 1 to {MAX_K}")
+    return k
 
 
 def check_id(name: str) -> str:

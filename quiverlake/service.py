@@ -14,45 +14,58 @@ import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .operators.replay import latest
 from .plans import catalog, ivf
 from .plans.search import hybrid
-from .schema import Op, check_id, check_k, check_vector
+from .schema import OPLOG, Op, check_id, check_k, check_vector
 from .sources.binlog import read_oplog
 from .sources.store import Store
-from .streaming.ingest import Writer
+from .streaming.ingest import Writer, last_seq
 
-LOG = "seq bigint, op_idx int, op tinyint, id string, vector array<float>"
+#: Merges of new files into the operations in memory before these are read anew.
+MERGES = 32
 
 
 class Engine:
+    """Index, and in memory what the log holds beyond it: the last operation of each id, advanced by new files alone."""
+
     def __init__(self, spark: SparkSession, base: str, dim: int = 128, nprobe: int = 10):
         self.spark, self.store, self.dim, self.nprobe = spark, Store(spark, base), dim, nprobe
         self.writer, self.lock = Writer(self.store, dim), threading.Lock()
         self.refresh()
 
     def refresh(self) -> None:
-        """Look for a newer published index."""
+        """Look for a newer published index; the log is then read anew from where it ends."""
         try:
             self.index = ivf.open_latest(self.spark, self.store)
         except catalog.NoManifestError:
             self.index = None
+        self.recent, self.seen, self.steps = self.spark.createDataFrame([], OPLOG), self.index.seq if self.index else 0, 0
 
     def log(self):
-        if not self.store.list("wal/"):
-            return self.spark.createDataFrame([], LOG)
-        return read_oplog(self.spark, self.store.path("wal"), self.index.seq if self.index else 0)
+        """The last operations since the index, with what has come to the log by now."""
+        with self.lock:
+            end = last_seq(self.store)
+            if end > self.seen:
+                if self.steps == MERGES:  # plans do not grow without end
+                    self.refresh()
+                fresh = read_oplog(self.spark, self.store.path("wal"), self.seen).filter(F.col("seq") <= end)
+                merged = latest(self.recent.unionByName(fresh), self.dim).persist()
+                merged.count()
+                self.recent.unpersist()
+                self.recent, self.seen, self.steps = merged, end, self.steps + 1
+            return self.recent
 
     def write(self, body: dict) -> dict:
         name, vector = check_id(str(body["id"])), check_vector([float(x) for x in body["vector"]], self.dim)
-        with self.lock:
-            self.writer.write([(Op.UPSERT, name, vector)])
+        self.writer.write([(Op.UPSERT, name, vector)])
         return {"id": name}
 
     def delete(self, body: dict) -> dict:
         name = check_id(str(body["id"]))
-        with self.lock:
-            self.writer.write([(Op.DELETE, name, None)])
+        self.writer.write([(Op.DELETE, name, None)])
         return {"id": name}
 
     def query(self, body: dict) -> dict:

@@ -3,7 +3,8 @@
 Reads and listings go through Spark's Hadoop configuration, so `file:`, `hdfs:` and `s3a:` bases work alike.
 Creation never overwrites: exactly one of any number of concurrent creators of a name wins. On a local base that
 is an exclusive hard link of a file already written in full, so no reader sees half a file; elsewhere it is the
-filesystem's own create-without-overwrite, which must be conditional there (an object store's If-None-Match).
+filesystem's own create-without-overwrite. On an object store that checks only before it writes, so there the write is
+asked to be conditional (If-None-Match) as a mandatory option: a connector that cannot do it refuses to create.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Schemes whose create-without-overwrite needs a conditional write, and the connector's option for it.
+OBJECT_STORES, CONDITIONAL = ("s3a", "s3", "s3n"), "fs.option.create.conditional.overwrite"
+
+
 class ExistsError(FileExistsError):
     """The name is taken; what is there was not changed."""
 
@@ -52,7 +57,10 @@ class Store:
         if local is None:
             fs, path = self._hadoop(name)
             try:
-                out = fs.create(path, False)
+                new = fs.createFile(path).overwrite(False).recursive()
+                if urlparse(self.path(name)).scheme in OBJECT_STORES:
+                    new = new.must(CONDITIONAL, True)
+                out = new.build()
                 out.write(bytearray(data))
                 out.close()
             except Exception as e:
@@ -93,7 +101,8 @@ class Store:
             stream = fs.open(path)
             try:
                 stream.seek(offset)
-                data = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)[:length])
+                io = self.spark._jvm.org.apache.commons.io
+                data = bytes(io.IOUtils.toByteArray(io.input.BoundedInputStream(stream, length)))  # reads no byte beyond
             finally:
                 stream.close()
         if len(data) != length:

@@ -2,6 +2,7 @@ import json
 import threading
 import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from http.server import ThreadingHTTPServer
 
 import pytest
@@ -123,8 +124,8 @@ def test_stream_commits_once(spark, store, tmp_path):
     assert ingest.last_seq(store) == 2 and spark.read.parquet(str(rejects)).count() == 1
     log = read_oplog(spark, store.path("wal"))
     assert {r.id: r.vector for r in replay.snapshot(log, 2).collect()} == {"b": [3.0, 4.0], "c": [5.0, 6.0]}
-    again = spark.createDataFrame([(1, "x", None)], "op tinyint, id string, vector array<float>")
-    assert not ingest.commit(store, 2, again) and read_oplog(spark, store.path("wal")).count() == 4
+    same = [(1, "a", None), (0, "c", [5.0, 6.0])]
+    assert ingest.commit(store, 2, same) == 2 and read_oplog(spark, store.path("wal")).count() == 4  # its own file
     writer = ingest.Writer(store, 2)
     assert writer.write([(0, "d", [1.0, 1.0])]) == 3
     with pytest.raises(ValueError):
@@ -132,6 +133,44 @@ def test_stream_commits_once(spark, store, tmp_path):
     assert writer.seq == 3
 
 
+def test_stream_on_a_log_with_files(spark, store, tmp_path):
+    """Service writes, then a stream with a new checkpoint: nothing is lost, in groups of 100; nor by a batch run again."""
+    writer = ingest.Writer(store, 1)
+    assert writer.write([(0, "service", [0.5])]) == 1
+    requests = tmp_path / "in"
+    requests.mkdir()
+    (requests / "1.json").write_text("\n".join(json.dumps({"id": f"s{i}", "vector": [i]}) for i in range(250)))
+    ingest.start(spark, str(requests), store, str(tmp_path / "cp"), 1).awaitTermination()
+    log = read_oplog(spark, store.path("wal"))
+    assert {r.seq: r["count"] for r in log.groupBy("seq").count().collect()} == {1: 1, 2: 100, 3: 100, 4: 50}
+    assert replay.live_count(log, 1).first().live == 251
+    # The first file of a batch that failed half way, then a file of another writer; the batch comes again.
+    groups = [[(0, f"r{i}", [1.0])] for i in range(3)]
+    first = ingest.begin(store, "again", 7)
+    assert first == 5 and ingest.commit(store, first, groups[0]) == 5 and writer.write([(0, "other", [2.0])]) == 6
+    seq = ingest.begin(store, "again", 7)
+    for g in groups:
+        seq = ingest.commit(store, seq, g) + 1
+    found = {r.id: r.seq for r in read_oplog(spark, store.path("wal"), 4).collect()}
+    assert found == {"r0": 5, "other": 6, "r1": 7, "r2": 8}
+
+
+def test_writer_commits_groups(store):
+    writer = ingest.Writer(store, 1, wait=0.2)
+    with ThreadPoolExecutor(60) as pool:
+        seqs = list(pool.map(lambda i: writer.write([(0, f"w{i}", [1.0])]), range(60)))
+    assert sorted(set(seqs)) == list(range(1, max(seqs) + 1)) and len(store.list("wal/")) == max(seqs) < 10
+    broken = ingest.Writer(store, 1, wait=0.2)
+
+    def fail(*_):
+        raise OSError("no room")
+
+    broken.store = type("Broken", (), {"create": fail})()
+    with ThreadPoolExecutor(5) as pool:
+        waiting = [pool.submit(broken.write, [(0, "x", [1.0])]) for _ in range(5)]
+        assert all("no room" in str(w.exception()) for w in waiting)
+
+
 def test_group_commits(spark):
     ops = spark.range(250).withColumnRenamed("id", "n")
     got = ingest.group_commits(ops, "n").groupBy("seq").agg(F.count("*").alias("c"), F.max("op_idx").alias("m")).orderBy("seq").collect()
@@ -171,5 +210,9 @@ def test_service(spark, tmp_path):
     ivf.build_index(spark, engine.store, read_oplog(spark, engine.store.path("wal")), max_iter=2)
     engine.refresh()
     assert post("/delete", {"id": "a"})[0] == 200
+    engine.store.calls.clear()
+    assert post("/query", {"vector": [0, 0], "k": 9})[1] == {"results": [{"id": "b", "score": 25.0}]}
+    reads = engine.store.calls["read"]
     assert post("/query", {"vector": [0, 0], "k": 9})[1] == {"results": [{"id": "b", "score": 25.0}]}
+    assert engine.store.calls["read"] == reads and engine.steps == 1  # nothing new: answered from memory
     server.shutdown()
