@@ -16,7 +16,6 @@ from .functions.distance import Metric, l2_squared
 from .operators import kmeans as km
 from .operators import knn, replay
 from .plans import catalog, ivf, search
-from .schema import MAX_K
 from .sources.store import sequence_of
 from .streaming.ingest import group_commits
 
@@ -82,7 +81,7 @@ def _batch(metric: Metric) -> Query:
 
 
 def _k_exceeds_n(spark: SparkSession, sf: str) -> DataFrame:
-    return knn.top_k(vectors(spark, sf), one_query(spark, sf), MAX_K)
+    return knn.top_k(vectors(spark, sf), one_query(spark, sf), vectors(spark, sf).count() + 1)
 
 
 def _pairwise(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,10 +155,15 @@ def _after_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recall(spark: SparkSession, sf: str, nprobes: tuple[int, ...]) -> DataFrame:
-    truth = knn.block_top_k(vectors(spark, sf), query_set(spark, sf), 10)
+    """The clusters are built and ranked once, and searched for each probe count."""
+    members, centroids = _index(spark, sf)
+    asked = query_set(spark, sf)
+    members, ranks = members.persist(), ivf.centroid_ranks(asked, centroids).persist()
+    truth = knn.block_top_k(vectors(spark, sf), asked, 10).persist()
     out = None
     for n in nprobes:
-        row = search.recall(_probed(spark, sf, n), truth).select(F.lit(n).alias("nprobe"), "hits", "queries", "recall")
+        probed = asked.join(ranks.filter(F.col("rank") <= n).select("query_id", "cluster_id"), "query_id")
+        row = search.recall(ivf.search_probed(members, probed, 10), truth).select(F.lit(n).alias("nprobe"), "hits", "queries", "recall")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -214,7 +218,6 @@ _QUERIES: dict[str, Query] = {
     "hybrid_after_delete": _after_delete,
     "recall_at_10": lambda spark, sf: _recall(spark, sf, (5,)),
     "recall_sweep": lambda spark, sf: _recall(spark, sf, (1, 5, 10, 20)),
-    "manifest_latest": lambda spark, sf: _attempts(spark, sf).agg(F.max("version").alias("version")),
     "manifest_winner": lambda spark, sf: catalog.winner(_attempts(spark, sf)),
     "wal_file_names": _names,
     "payload_crc32": _crc,
@@ -310,7 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_l2_batch": f"WITH {_V} {_top(pairs, _l2('mv', 'qv'))}",
         "knn_cosine_batch": f"WITH {_V} {_top(pairs, _cos('mv', 'qv'), 'score DESC')}",
         "knn_dot_batch": f"WITH {_V} {_top(pairs, _dot('mv', 'qv'), 'score DESC')}",
-        "knn_k_exceeds_n": _one(_l2("vector", "o"), "score", f"LIMIT {MAX_K}"),
+        "knn_k_exceeds_n": _one(_l2("vector", "o"), "score", "LIMIT (SELECT count(*) + 1 FROM embeddings)"),
         "l2_pairwise": f"WITH {_V} SELECT query_id, id, {_l2('mv', 'qv')} AS score FROM {pairs}",
         "oplog_from_events": f"{log} SELECT * FROM l",
         "replay_lww": f"{log}, {_live('s', 'true')} SELECT * FROM s",
@@ -338,7 +341,6 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_after_delete": _hybrid_sql("UNION ALL SELECT 1099511627776, 0::INT, 1::TINYINT, user_id::VARCHAR, NULL FROM events GROUP BY user_id HAVING count(*) % 2 = 1"),
         "recall_at_10": _recall_sql((5,)),
         "recall_sweep": _recall_sql((1, 5, 10, 20)),
-        "manifest_latest": "SELECT max(user_id) AS version FROM events",
         "manifest_winner": "SELECT user_id AS version, min(event_id) AS attempt FROM events GROUP BY 1",
         "wal_file_names": "SELECT DISTINCT 'wal/' || lpad((event_id // 100 + 1)::VARCHAR, 20, '0') || '.bin' AS path, event_id // 100 + 1 AS seq FROM events",
     }
