@@ -2,11 +2,16 @@
 
 Training counts hashed 1- to 3-grams of lower-cased letters by language on a bounded sample (at most about
 SAMPLE_PER_LANG documents of each language, chosen by a hash of the id); the smoothed log probabilities are one
-float32 matrix of 2 ** BITS rows and a column for each language, sent to the executors once. Scoring hashes
+float32 matrix of 2 ** BITS rows and a column for each language, a broadcast variable: 128 KB a language, and at most
+MAX_LANGS languages are learned (more are an error). Scoring hashes
 the n-grams of a few texts at a time in numpy and adds up their matrix rows by text.
 
-score is the posterior probability of the predicted language. A text that is null or has no letter is `und`
-with score 0. With no training rows every text is `und`. Ties go to the language first in order.
+score is the posterior probability of the predicted language.
+
+Cases: a text that is null or has no letter is `und` with score 0. Very long texts are scored whole, in overlapping
+pieces. With no training rows every text is `und`; an empty table gives an empty table. Ties go to the language first
+in order. Repeated rows are counted as often as they occur in training and predicted alike. Only doc_id, text and (in
+training) lang of the input are looked at, so other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ SAMPLE_PER_LANG = 2000
 #: Texts up to this many characters are hashed together; a longer one is hashed in pieces of this size.
 PIECE = 1 << 18
 SMOOTHING = 0.5
+#: Languages that a model may have, so that its matrix stays below 128 MB.
+MAX_LANGS = 1000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -114,7 +122,9 @@ class Model:
 def train(rows: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """From (doc_id, text, lang); rows without text or language are left out."""
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").alias("label"))
-    sizes = rows.groupBy("label").count().collect()  # a row for each language
+    sizes = rows.groupBy("label").count().limit(MAX_LANGS + 1).collect()  # a row for each language
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     if not sizes:
         return Model([], np.zeros(0), np.zeros((1 << BITS, 0), dtype=np.float32))
     total = sum(r["count"] for r in sizes)
@@ -143,10 +153,17 @@ def train(rows: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     return Model(langs, np.array([prior[x] for x in langs]), np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
+def _sent(docs: DataFrame, model: Model) -> Broadcast:
+    """The model's numbers as a broadcast variable: each executor fetches them once."""
+    return docs.sparkSession.sparkContext.broadcast((model.langs, model.log_prior, model.log_prob))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) from doc_id and text alone."""
+    sent = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for part in slices(batches):
             lang, score = model.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
@@ -157,8 +174,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of docs whose language is known with a posterior of at least `least`."""
 
+    sent = _sent(docs, model)
+
     def certain(texts: list[str | None]) -> np.ndarray:
-        lang, score = model.predict(texts)
+        lang, score = Model(*sent.value).predict(texts)
         return np.array([x != "und" for x in lang]) & (score >= least)
 
     return filtered(docs, certain)
