@@ -4,12 +4,17 @@ A rule is (host, path prefix, verdict). It fits its host and every subdomain whe
 prefix; the longest host + path that fits wins. URLs that a rule judges are the labelled ones: on a bounded sample
 of them (about MAX_TRAINING, by a hash of the URL) boosted trees learn to tell block from allow by length, path
 depth, digit ratio, character entropy, parameter counts and the block rates of the host's last one and two
-labels. The trees become nested CASE expressions, so scoring runs in the JVM on every row, without a shuffle.
+labels, of all suffixes in the sample (a table of at most its rows, broadcast). The trees become nested CASE
+expressions, so scoring runs in the JVM on every row, without a shuffle.
 
 Host and path as in the query: the host follows the first '://' up to '/', '?', '#' or the end, with A-Z
-lower-cased; the path follows up to '?', '#' or the end. A null URL, or one without '://', has both empty; it is
-judged by the trees like any other. Without labelled URLs, or with labels of one kind, the trees say that kind
-(allow where there is none). Repeated rows are judged alike.
+lower-cased; the path follows up to '?', '#' or the end.
+
+Cases: a null URL, or one without '://', has both empty; it is judged by the trees like any other. Very long URLs are
+read whole. Of rules of equal length the later in the list wins; of equal splits the trees take the first feature and
+the lowest value. Without labelled URLs, or with labels of one kind, the trees say that kind (allow where there is
+none). Repeated rows are judged alike; an empty table gives an empty table. Only page_id and url of the input are
+looked at, so other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -20,9 +25,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_unit
+from .common import cut, hash_unit
 
-MAX_TRAINING, MAX_SUFFIXES = 20_000, 512
+MAX_TRAINING = 20_000
 ROUNDS, DEPTH, RATE, BINS, LEAST_LEAF, L2 = 24, 3, 0.3, 32, 20, 1.0
 FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix1", "suffix2")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,17 +77,6 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _rates(seen: dict[str, tuple[int, int]], prior: float) -> dict[str, float]:
-    return {k: (bad + 5 * prior) / (n + 5) for k, (bad, n) in seen.items()}
-
-
-def _lookup(key: Column, rates: dict[str, float], other: Column) -> Column:
-    if not rates:
-        return other
-    table = F.create_map(*[F.lit(x) for kv in sorted(rates.items()) for x in kv])
-    return F.coalesce(F.try_element_at(table, key), other)
-
-
 class Trees:
     """Boosted regression trees on the logistic loss, grown level by level on binned features."""
 
@@ -143,22 +137,24 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, max_training: int =
     labelled = rows.filter("ruled IS NOT NULL").select("url", "host", "path", "s1", "s2", (F.col("ruled") == "block").cast("int").alias("bad"))
     n, = labelled.agg(F.count(F.lit(1))).first()
     sample = labelled.filter(hash_unit(F.lit("urls"), F.col("url")) < min(1.0, max_training / max(1, n)))
-    # Repeated URLs come as one weighted row, so the driver gets about max_training rows at most.
-    got = sample.groupBy("url", "host", "path", "s1", "s2", "bad").agg(F.count(F.lit(1)).alias("n")).select("s1", "s2", "bad", "n", *[c.alias(k) for k, c in features.items()]).collect()
-    prior = sum(r.n * r.bad for r in got) / max(1, sum(r.n for r in got))
-    tables = []
-    for s in ("s1", "s2"):
-        seen: dict[str, tuple[int, int]] = {}
-        for r in got:
-            bad, n = seen.get(r[s], (0, 0))
-            seen[r[s]] = bad + r.n * r.bad, n + r.n
-        tables.append(_rates(dict(sorted(seen.items(), key=lambda kv: (-kv[1][1], kv[0]))[:MAX_SUFFIXES]), prior))
-    number = lambda r: [*(r[k] for k in features), (a := tables[0].get(r.s1, prior)), tables[1].get(r.s2, a)]
-    x = np.array([number(r) for r in got], dtype=float).reshape(len(got), len(FEATURES))
+    # Repeated URLs come as one weighted row, so this is about max_training rows at most.
+    sample = sample.groupBy("url", "host", "path", "s1", "s2", "bad").agg(F.count(F.lit(1)).alias("n")).select("s1", "s2", "bad", "n", *[c.alias(f"f_{k}") for k, c in features.items()])
+    sample = cut(sample)
+    bad, all_ = sample.agg(F.coalesce(F.sum(F.col("n") * F.col("bad")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    prior = bad / max(1, all_)
+    rate = (F.sum(F.col("n") * F.col("bad")) + 5 * prior) / (F.sum("n") + 5)
+    tables = {s: sample.groupBy(s).agg(rate.alias(f"r{s}")) for s in ("s1", "s2")}  # every suffix of the sample
+
+    def with_suffixes(df: DataFrame) -> DataFrame:
+        for s, table in tables.items():
+            df = df.join(F.broadcast(table), s, "left")
+        first = F.coalesce("rs1", F.lit(prior))
+        return df.withColumns({"f_suffix1": first, "f_suffix2": F.coalesce(F.col("rs2"), first)})
+
+    got = with_suffixes(sample).select("bad", "n", *[f"f_{k}" for k in FEATURES]).collect()
+    x = np.array([[r[f"f_{k}"] for k in FEATURES] for r in got], dtype=float).reshape(len(got), len(FEATURES))
     model = Trees(x, np.array([r.bad for r in got], dtype=float), np.array([r.n for r in got], dtype=float))
-    rows = rows.select("*", *[c.alias(f"f_{k}") for k, c in features.items()])
-    rows = rows.withColumn("f_suffix1", _lookup(F.col("s1"), tables[0], F.lit(prior)))
-    rows = rows.withColumn("f_suffix2", _lookup(F.col("s2"), tables[1], F.col("f_suffix1")))
+    rows = with_suffixes(rows.select("*", *[c.alias(f"f_{k}") for k, c in features.items()]))
     raw = model.column([F.col(f"f_{k}") for k in FEATURES]) if len(got) else F.lit(-10.0)
     rows = rows.withColumn("score", 1 / (1 + F.exp(-raw)))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
