@@ -14,7 +14,7 @@ def test_index_by_brute_force():
             at = np.sort(dice.choice(30, dice.integers(1, 5), replace=False))
             w = np.round(dice.random(len(at)), 1) + 0.1
             vectors.append((at, w / np.sqrt((w * w).sum())))
-        index = toxicity.BlockMaxIndex(vectors, 30, block)
+        index = toxicity.BlockMaxIndex(vectors, 30, block, full=dice.choice([1, 5, 1000]))
         dense = np.zeros((n, 30))
         for i, (at, w) in enumerate(vectors):
             dense[i, at] = w
@@ -32,7 +32,7 @@ def test_blocks_save_postings():
     family = lambda f: np.sort(np.concatenate([[0, 1], 2 + f * 20 + dice.choice(20, 6, replace=False)]))
     vectors = [(family(i // 40), np.array([0.1, 0.1, *dice.random(6) + 0.5])) for i in range(2000)]
     vectors = [(at, w / np.sqrt((w * w).sum())) for at, w in vectors]
-    index = toxicity.BlockMaxIndex(vectors, 1002)
+    index = toxicity.BlockMaxIndex(vectors, 1002, full=0)  # all terms have postings
     whole = 0
     for at, w in vectors[::50]:
         index.top(at, w, 15)
