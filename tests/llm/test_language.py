@@ -34,6 +34,32 @@ def test_scores_by_brute_force():
         assert np.allclose(row, want)
 
 
+def test_whole_table_by_brute_force(spark, sf_dir):
+    """Counts and scores of every document, with plain dictionaries of hashed grams."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    langs = sorted({r.lang for r in learned})
+    grams = lambda text: np.concatenate(language.hashed(language.codes_of(language.letters(text)))) if language.letters(text) else np.zeros(0, int)
+    table = np.full((1 << language.BITS, len(langs)), language.SMOOTHING)
+    for r in learned:
+        np.add.at(table[:, langs.index(r.lang)], grams(r.text), 1)
+    prob = np.log(table / table.sum(axis=0)).astype(np.float32).astype(float)
+    prior = np.log([sum(r.lang == x for r in learned) / len(learned) for x in langs])
+    got = {r.doc_id: r for r in language.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for r in rows:
+        joint = prior + prob[grams(r.text)].sum(axis=0)
+        p = np.exp(joint - joint.max())
+        if language.letters(r.text):
+            assert got[r.doc_id].lang_pred == langs[joint.argmax()] and abs(got[r.doc_id].score - (p / p.sum()).max()) < 1e-6
+        else:
+            assert got[r.doc_id].lang_pred == "und"
+
+
+def test_ties_go_to_the_first(spark):
+    docs = spark.createDataFrame([(1, "abc", "y"), (3, "abc", "x"), (4, "abc", None)], "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in language.predict(docs, language.train(docs)).collect()} == {"x"}
+
+
 def test_long_text_in_pieces(monkeypatch):
     model = language.Model(["a"], np.zeros(1), np.full((1 << language.BITS, 1), -1, np.float32))
     monkeypatch.setattr(language, "PIECE", 64)

@@ -51,3 +51,9 @@ def test_edges(spark):
     twice = out.filter("doc_id = 1").groupBy("copy_no").count().collect()
     assert all(r["count"] == 2 for r in twice)
     assert mixing.replicate(docs.limit(0)).count() == 0
+
+
+def test_working_names_are_free(spark):
+    docs = many(spark).withColumns({"__ql_src": mixing.F.lit(1), "__ql_n": mixing.F.lit("n"), "__ql_cdf": mixing.F.lit(2), "__QL_parts": mixing.F.lit(3)})
+    out = mixing.replicate(docs)
+    assert out.columns == [*docs.columns, "copy_no", "mix_key"] and out.count() == mixing.replicate(many(spark)).count()

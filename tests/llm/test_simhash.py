@@ -127,3 +127,10 @@ def test_deduplicated_finds_alike_texts(spark):
     due = [i for g in groups for i in g[1:] if len(sets[i] & sets[g[0]]) >= 0.8 * len(sets[i] | sets[g[0]])]
     assert len(due) > 150 and sum(i in kept for i in due) <= 0.03 * len(due)
     assert all(g[0] in kept and g[0] + 4 in kept for g in groups)
+
+
+def test_working_names_are_free(spark):
+    rows = [(1, "one two three four five six", 7), (2, "one two three four five six", 7), (3, "another text of some words here", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __ql_id int").withColumn("__ql_n", simhash.F.lit("n"))
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
