@@ -352,7 +352,7 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
         return prints.select("w0", "shingles").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("shingles").alias("shingles"))
 
     met = cut(meetings(classes.select("w0", "bits", "keys"), 2).distinct())
-    sure = cut(alike(met, sets_of(met)))
+    sure = cut(alike(met, cut(sets_of(met))))  # the sets are read several times, and shuffled once
     roots = cut(connected_components(sure))
     label = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     refused = met.join(sure, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
@@ -363,7 +363,7 @@ def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
     nodes = classes.select("w0", "bits", "keys").join(label("w0"), "w0", "left").select("w0", "bits", "keys", F.coalesce("root_w0", "w0").alias("label"))
     more = meetings(nodes.join(open_, "label", "left_semi").select("w0", "bits", "keys", "label"), WORDS, labelled=True).distinct()
     more = cut(more.join(met, ["a", "b"], "left_anti"))
-    return sure.union(alike(more, sets_of(more)))
+    return sure.union(alike(more, cut(sets_of(more))))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
