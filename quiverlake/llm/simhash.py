@@ -9,6 +9,11 @@ search over the members not reached yet, so only one link for each member leaves
 fingerprints costs about its length. No bucket is capped; a worker holds one bucket at a time, 24 to 40 bytes a
 distinct fingerprint.
 
+deduplicated goes the same way to likeness instead of bits: segments of a fingerprint, each with one bit blanked in
+turn and anchored by min-wise hashes, meet by equality of keys, differing bits are counted, and what met is checked
+exactly on whole shingle sets. Only links that hold leave that check, one a member, so rows grow with the members of a
+family and not with its pairs; families larger than BLOCK are checked as pairs of blocks.
+
 Cases: null and empty texts have fingerprint zero and link like any other. Texts of any length are read whole, RUN
 shingles at a time. Repeated rows have equal fingerprints and are one entry of the index; a bit that exactly half of
 the hashes have is 0; an empty table gives an empty table. near_duplicates looks at doc_id and text alone, so other
@@ -80,31 +85,33 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1, once: bool = F
     return np.packbits(ones * 2 > n, bitorder="little").view("<u8").tolist()
 
 
-def bottom(text: str | None, width: int, size: int | None = None) -> np.ndarray:
-    """The smallest 32-bit hashes of the set of shingles, sorted: all of them without a size or for a short text, none for an empty one."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The 32-bit hashes of the set of shingles, sorted; none for an empty text."""
     parts = _words(text)
     if not parts:
         return np.zeros(0, dtype=np.uint32)
-    return np.unique(np.concatenate([(h >> np.uint64(32)).astype(np.uint32) for h in _shingles(parts, width)]))[:size]
+    return np.unique(np.concatenate([(h >> np.uint64(32)).astype(np.uint32) for h in _shingles(parts, width)]))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int | None) -> float:
-    """Jaccard likeness of two shingle sets from their bottom sketches; of whole sets without a size."""
-    both = np.union1d(a, b)[:size]
-    return 1.0 if not len(both) else float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean())
+def anchors(shingles: np.ndarray) -> np.ndarray:
+    """For each segment a hash of two min-wise hashes of the shingle set."""
+    low = np.full(2 * SEGMENTS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 2048):
+        low = np.minimum(low, ((shingles[at : at + 2048, None].astype(np.uint64) ^ _XOR) * _TIMES).min(axis=0))
+    return _mixed(_mixed(low[::2], 2) ^ low[1::2], 3)
 
 
-def anchored(shingles: np.ndarray, words: list[int]) -> np.ndarray:
-    """The keys under which deduplication indexes a text: KEYS of them, from its shingle set and its fingerprint.
+def variants(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The keys of texts, a row each: every segment with one bit blanked in turn, hashed with its number and its anchor.
 
-    Key i is a hash of i, the i-th SEGMENT bits of the fingerprint and two min-wise hashes of the set.
+    bits: (texts, WORDS) unsigned, anchor: (texts, SEGMENTS). Equal segments agree in all variants, segments that differ
+    by one bit in one, others in none.
     """
-    low = np.full(2 * KEYS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(shingles), 2048):
-        low = np.minimum(low, ((shingles[at : at + 2048, None].astype(np.uint64) ^ _XOR) * _TIMES).min(axis=0))
-    segments = np.array(words, dtype="<u8").view(f"<u{SEGMENT // 8}")[:KEYS].astype(np.uint64)
-    first, second = low[::2], low[1::2]
-    return _mixed(_mixed(_mixed(segments + np.arange(KEYS, dtype=np.uint64) * np.uint64(1 << SEGMENT), 1) ^ first, 2) ^ second, 3)
+    segments = np.ascontiguousarray(bits).view(np.uint8)[:, :SEGMENTS, None]
+    blanks = np.arange(SEGMENT, dtype=np.uint8)
+    kept = (segments & ~(np.uint8(1) << blanks)).astype(np.uint64)
+    number = np.arange(SEGMENTS, dtype=np.uint64)[:, None] * np.uint64(SEGMENT) + blanks
+    return _mixed(_mixed(kept + number * np.uint64(1 << SEGMENT), 1) ^ anchor[:, :, None], 2).reshape(len(bits), KEYS)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
@@ -159,19 +166,15 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bucket_pairs(keys: np.ndarray, words: np.ndarray, labels: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """All pairs of rows of equal key (sorted) and different label within limit bits, as pairs of row numbers."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    end = np.repeat(np.append(starts[1:], len(keys)), np.diff(np.append(starts, len(keys))))
-    at, step = np.arange(len(keys)), 1
-    while len(at := at[at + step < end[at]]):
-        for some in range(0, len(at), RUN):
-            pair = at[some : some + RUN]
-            pair = pair[labels[pair] != labels[pair + step]]
-            pair = pair[np.bitwise_count(words[pair] ^ words[pair + step]).sum(axis=1) <= limit]
-            if len(pair):
-                yield np.column_stack([pair, pair + step])
-        step += 1
+def bucket_roots(keys: np.ndarray, words: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs (first row of its component, row) for all rows that bucket_links joins to an earlier one."""
+    found = bucket_links(keys, words, limit)
+    root = np.arange(len(keys))
+    root[found[:, 1]] = found[:, 0]
+    while not np.array_equal(up := root[root], root):
+        root = up
+    rows = np.flatnonzero(root != np.arange(len(keys)))
+    return np.column_stack([root[rows], rows])
 
 
 def _by_bucket(index: DataFrame, pairs_of: Callable[[np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
@@ -268,102 +271,127 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: What deduplication uses: two texts are alike at SIMILARITY or more of their five-word shingles. To find them,
-#: 256-bit fingerprints of three-word shingles (an edit disturbs fewer of those) are cut into 32 segments of 8 bits, and
-#: a segment is indexed together with two min-wise hashes of the five-word shingles: equal keys need a common text, so
-#: buckets do not fill up as the corpus grows, however short the segments are. At 0.8 a bit differs with a probability
-#: of 0.152 even if the edit is one block (scattered edits: less), so a pair meets with
-#: 1 - (1 - 0.8 ** 2 * 0.848 ** 8) ** 32 = 0.997, at 0.85 with 0.99999. One-wildcard variants of the segments would
-#: multiply the index by 9 for 2.4 times the chance of a key, so more keys are the cheaper way here. Pairs that meet
-#: are checked if they differ by at most NEAR[k] bits of the first k words: four standard deviations above what a pair
-#: at 0.8 differs by.
-SIMILARITY, WIDTH, CANDIDATE_WIDTH, SKETCH = 0.8, 5, 3, 256
-WORDS, SEGMENT, NEAR = 4, 8, {2: 36, 4: 64}
-KEYS = WORDS * 64 // SEGMENT
-_TIMES, _XOR = (np.random.default_rng([SEED, k]).integers(0, 1 << 63, 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 2))
-#: Four standard errors of a likeness estimated from sketches, at SIMILARITY.
-DOUBT = 4 * (SIMILARITY * (1 - SIMILARITY) / SKETCH) ** 0.5
-
-
-def meetings(nodes: DataFrame, words: int, labelled: bool = False) -> DataFrame:
-    """Edges (a, b), a < b, between w0 values of nodes (w0, bits, keys) that share a key and differ by NEAR[words] bits at most.
-
-    They connect all such nodes. With labelled, nodes have a label too, and all such pairs of different label are edges.
-    """
-    names = ["key", "w0", *(f"b{k}" for k in range(words)), *(["label"] if labelled else [])]
+#: SEGMENTS segments of 8 bits of a 128-bit fingerprint of three-word shingles (an edit disturbs fewer of those) are
+#: indexed with one bit blanked in turn, each together with two min-wise hashes of the five-word shingles: equal keys
+#: need a common text, so buckets do not fill up as the corpus grows, however short the segments are. At 0.8 a bit
+#: differs with a probability of 0.152 even if the edit is one block (scattered edits: less), so a segment has one
+#: differing bit at most with 0.848 ** 8 + 8 * 0.152 * 0.848 ** 7 = 0.651, and a pair meets with
+#: 1 - (1 - 0.8 ** 2 * 0.651) ** 12 = 0.998. Pairs that meet are checked if they differ by at most NEAR bits or are
+#: joined by others that do: four standard deviations above what a pair at 0.8 differs by.
+SIMILARITY, WIDTH, CANDIDATE_WIDTH = 0.8, 5, 3
+WORDS, SEGMENT, SEGMENTS, NEAR = 2, 8, 12, 36
+KEYS = SEGMENTS * SEGMENT
+_TIMES, _XOR = (np.random.default_rng([SEED, k]).integers(0, 1 << 63, 2 * SEGMENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 2))
+#: Bytes of shingle sets in a block of a family, each member counted MEMBER bytes more; a worker holds two blocks.
+BLOCK, MEMBER = 4 << 20, 1024
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, of w0 values of nodes (w0, bits, anchors): a is the least of a bucket's members that NEAR bits join to b."""
+    names = ["key", "w0", *(f"b{k}" for k in range(WORDS))]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype="<i8").reshape(-1, WORDS)
-                keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype="<i8")
-                rest = [part.column("w0").to_numpy(), *bits[:, :words].T, *([part.column("label").to_numpy()] if labelled else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(c, KEYS)) for c in rest)], names)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), dtype="<u8").reshape(-1, WORDS)
+                anchor = np.frombuffer(b"".join(part.column("anchors").to_pylist()), dtype="<u8").reshape(-1, SEGMENTS)
+                rest = [part.column("w0").to_numpy(), *bits.view("<i8").T]
+                yield pa.RecordBatch.from_arrays([pa.array(variants(bits, anchor).ravel().view("<i8")), *(pa.array(np.repeat(c, KEYS)) for c in rest)], names)
 
     index = nodes.mapInArrow(expand, ", ".join(f"{n} bigint" for n in names))
-    # In a bucket the order is hashed with the key: the same in every run, but another first row in other buckets.
-    index = index.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "w0"))
+    # The same order in all buckets: those of one family have few first rows among them.
+    index = index.repartition("key").sortWithinPartitions("key", "w0")
+    return _by_bucket(index, lambda rows: iter([bucket_roots(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), NEAR)]))
 
-    def pairs_of(rows: np.ndarray) -> Iterator[np.ndarray]:
-        keys, bits = rows[:, 0], np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64)
-        return bucket_pairs(keys, bits, rows[:, -1], NEAR[words]) if labelled else iter([bucket_links(keys, bits, NEAR[words])])
 
-    return _by_bucket(index, pairs_of)
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def alike(edges: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH) -> DataFrame:
-    """The edges (a, b) whose sets of shingle hashes (w0, shingles), sorted, are alike.
+def alike_rows(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (row, row) that join all rows whose sets are alike, directly or through others; each link is alike, exactly.
 
-    Sketches, the first `size` hashes of each set, settle the clear cases; where their estimate is within DOUBT of the
-    similarity and a set is longer than its sketch, the whole sets are compared.
+    Sets that are alike share one of their rarest members: with all members in one order, rare ones first, each has
+    one among its first len - ceil(similarity * len) + 1 in common with the other's. Whole sets of such pairs are
+    compared, and a row that was reached is not searched for again.
     """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    members = rank[at]
+    members = members[np.lexsort((members, owner))]  # within each set by rank
+    firsts = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+    head = _spans(starts, firsts)
+    order = np.argsort(members[head], kind="stable")
+    listed, rows = members[head][order], owner[head][order]  # which rows have a member among their first
+    begins = np.searchsorted(listed, np.arange(len(counts)))
+    lengths = np.diff(np.append(begins, len(listed)))
+    left, has, links = np.ones(len(sets), dtype=bool), np.zeros(len(counts), dtype=bool), []
+    for row in range(len(sets)):
+        queue = [row] if left[row] else []
+        left[row] = False
+        while queue:
+            i = queue.pop()
+            mine = members[starts[i] : starts[i] + sizes[i]]
+            own = mine[: firsts[i]]
+            near = np.zeros(len(sets), dtype=bool)
+            near[rows[_spans(begins[own], lengths[own])]] = True
+            near = np.flatnonzero(near & left & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9))
+            if not len(near):
+                continue
+            has[mine] = True
+            common = np.add.reduceat(has[members[_spans(starts[near], sizes[near])]], np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+            has[mine] = False
+            found = near[common / (sizes[near] + sizes[i] - common) >= similarity]
+            left[found] = False
+            links += [(i, x) for x in found.tolist()]
+            queue += found.tolist()
+    return links
 
-    def judged(pairs: DataFrame, part: Column, size: int | None) -> DataFrame:
-        side = lambda n: sets.select(F.col("w0").alias(n), part.alias(f"set_{n}"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    out = []
-                    for p, q in zip(some.column("set_a").to_pylist(), some.column("set_b").to_pylist(), strict=True):
-                        whole = size is None or max(len(p), len(q)) < 4 * size
-                        j = likeness(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), None if whole else size)
-                        out.append(None if not whole and abs(j - similarity) <= DOUBT else j >= similarity)
-                    yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(out, pa.bool_())], ["a", "b", "ok"])
 
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, ok boolean")
+def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between alike classes (w0, bits, anchors, weight) that connect all which meet and are alike.
 
-    first = cut(judged(edges, F.substring("shingles", 1, 4 * size), size))
-    second = judged(first.filter("ok IS NULL").select("a", "b"), F.col("shingles"), None)
-    return first.union(second).filter("ok").select("a", "b")
+    A family is a class with all that meet it as the least of a bucket; any two that meet are in one family. Its whole
+    sets come together and only links that hold leave. A family of more than BLOCK is dealt as pairs of blocks, so each
+    two members still meet and no worker holds more than two blocks.
+    """
+    met = cut(meetings(classes.select("w0", "bits", "anchors")).distinct())
+    members = met.select(F.col("a").alias("family"), F.col("b").alias("w0")).union(met.select("a", "a").distinct())
+    members = cut(members.join(classes.select("w0", "weight"), "w0"))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    members = members.join(blocks, "family", "left").select("w0", "family", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64("w0"), F.col("blocks")).cast("int").alias("own")
+    members = members.select("w0", "family", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("w0", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("place"))
+    sets = prints.select("w0", "shingles").join(met.select(F.col("a").alias("w0")).union(met.select("b")).distinct(), "w0", "left_semi")
+    dealt = members.join(sets.groupBy("w0").agg(F.min("shingles").alias("shingles")), "w0").select("place", "w0", "shingles")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        place = None
 
-def alike_links(classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between alike classes (w0, bits, keys) that connect all which meet and are alike.
+        def found() -> Iterator[pa.RecordBatch]:
+            if links := alike_rows([np.frombuffer(x, np.uint32) for _, x in held]) if len(held) > 1 else []:
+                a, b = np.sort(np.array([w for w, _ in held])[np.array(links)], axis=1).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    First the members of each bucket are connected by few edges, whatever its size, and these are verified. Where all
-    hold, nothing is left to find. A pair that the first edges do not connect has a refused edge at both of its verified
-    groups; all members of such groups are searched again, and all their pairs across groups verified.
-    """
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for p, w, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if p != place:
+                        yield from found()
+                        held, place = [], p
+                    held.append((w, x))
+        yield from found()
 
-    def sets_of(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.col("a").alias("w0")).union(edges.select("b")).distinct()
-        return prints.select("w0", "shingles").join(ends, "w0", "left_semi").groupBy("w0").agg(F.min("shingles").alias("shingles"))
-
-    met = cut(meetings(classes.select("w0", "bits", "keys"), 2).distinct())
-    sure = cut(alike(met, cut(sets_of(met))))  # the sets are read several times, and shuffled once
-    roots = cut(connected_components(sure))
-    label = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    refused = met.join(sure, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    refused = refused.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).filter("x <> y")
-    open_ = cut(refused.select(F.col("x").alias("label")).union(refused.select("y")).distinct())
-    if open_.isEmpty():
-        return sure
-    nodes = classes.select("w0", "bits", "keys").join(label("w0"), "w0", "left").select("w0", "bits", "keys", F.coalesce("root_w0", "w0").alias("label"))
-    more = meetings(nodes.join(open_, "label", "left_semi").select("w0", "bits", "keys", "label"), WORDS, labelled=True).distinct()
-    more = cut(more.join(met, ["a", "b"], "left_anti"))
-    return sure.union(alike(more, cut(sets_of(more))))
+    return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a bigint, b bigint")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -374,12 +402,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
 
     def of(text: str | None) -> tuple:
-        words, shingles = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True), bottom(text, WIDTH)
+        words, shingles = fingerprint(text, CANDIDATE_WIDTH, WORDS, once=True), shingle_set(text, WIDTH)
         same = xxhash.xxh64_intdigest(b" ".join(_words(text)), SEED)
-        return [same], np.array(words, dtype="<u8").tobytes(), anchored(shingles, words).tobytes(), shingles.tobytes()
+        return [same], np.array(words, dtype="<u8").tobytes(), anchors(shingles).tobytes(), shingles.tobytes()
 
-    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "keys", "shingles"))
-    classes = prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("keys").alias("keys"))
+    prints = cut(_prints(docs.filter("doc_id IS NOT NULL"), 1, of, "bits", "anchors", "shingles"))
+    least = lambda of: F.min(of).alias(of)
+    classes = cut(prints.groupBy("w0").agg(F.min("doc_id").alias("least"), least("bits"), least("anchors"), F.min(F.length("shingles") + MEMBER).alias("weight")))
     found = cut(groups(classes.select("w0", "least"), alike_links(classes, prints)))
     kept = prints.select("doc_id", "w0").join(found, F.col("w0") == F.col("of")).filter(F.col("doc_id") == F.col("component_id"))
     id_, n = fresh(docs.columns, "id"), fresh(docs.columns, "n")
