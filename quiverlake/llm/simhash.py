@@ -102,16 +102,16 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
 
 
 def variants(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """The keys of texts, a row each: every segment with one bit blanked in turn, hashed with its number and its anchor.
+    """The keys of texts, a row each: every segment with one bit blanked in turn, beside a hash of its number and its anchor.
 
     bits: (texts, WORDS) unsigned, anchor: (texts, SEGMENTS). Equal segments agree in all variants, segments that differ
-    by one bit in one, others in none.
+    by one bit in one, others in none. The low VARIANT bits are the variant and its value, those above the hash.
     """
     segments = np.ascontiguousarray(bits).view(np.uint8)[:, :SEGMENTS, None]
     blanks = np.arange(SEGMENT, dtype=np.uint8)
-    kept = (segments & ~(np.uint8(1) << blanks)).astype(np.uint64)
-    number = np.arange(SEGMENTS, dtype=np.uint64)[:, None] * np.uint64(SEGMENT) + blanks
-    return _mixed(_mixed(kept + number * np.uint64(1 << SEGMENT), 1) ^ anchor[:, :, None], 2).reshape(len(bits), KEYS)
+    kept = (segments & ~(np.uint8(1) << blanks)).astype(np.uint64) | blanks.astype(np.uint64) << np.uint64(SEGMENT)
+    place = _mixed(anchor + np.arange(SEGMENTS, dtype=np.uint64), 1) >> np.uint64(VARIANT) << np.uint64(VARIANT)
+    return (place[:, :, None] | kept).reshape(len(bits), KEYS)
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 #: joined by others that do: four standard deviations above what a pair at 0.8 differs by.
 SIMILARITY, WIDTH, CANDIDATE_WIDTH = 0.8, 5, 3
 WORDS, SEGMENT, SEGMENTS, NEAR = 2, 8, 12, 36
-KEYS = SEGMENTS * SEGMENT
+KEYS, VARIANT = SEGMENTS * SEGMENT, 11
 _TIMES, _XOR = (np.random.default_rng([SEED, k]).integers(0, 1 << 63, 2 * SEGMENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 2))
 #: Bytes of shingle sets in a block of a family, each member counted MEMBER bytes more; a worker holds two blocks.
 BLOCK, MEMBER = 4 << 20, 1024
@@ -300,8 +300,9 @@ def meetings(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(variants(bits, anchor).ravel().view("<i8")), *(pa.array(np.repeat(c, KEYS)) for c in rest)], names)
 
     index = nodes.mapInArrow(expand, ", ".join(f"{n} bigint" for n in names))
-    # The same order in all buckets: those of one family have few first rows among them.
-    index = index.repartition("key").sortWithinPartitions("key", "w0")
+    # The variants of a segment are dealt to one task, so what meets in several of them is one edge. The same order in
+    # all buckets: those of one family have few first rows among them.
+    index = index.repartition(F.shiftright("key", VARIANT)).sortWithinPartitions("key", "w0")
     return _by_bucket(index, lambda rows: iter([bucket_roots(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), NEAR)]))
 
 
